@@ -74,12 +74,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """At most ``rows`` rows of each class in the order of a hash of the id: (key, text, label)."""
-    marks = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").dropDuplicates(["key"])
+    """At most ``rows`` labelled ids of each class in the order of a hash of the id, with their texts: (key, text, label).
+
+    The ids are chosen among the labels alone; 2 * ``rows`` ids are what the join broadcasts, so no text is shuffled.
+    """
+    marks = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)").dropDuplicates(["key"])
+    chosen = [marks.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(rows) for v in (0, 1)]
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text").between(1, chars))
-    both = texts.join(marks, "key")
-    parts = [both.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key", F.xxhash64("text")).limit(rows) for v in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    return texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "key")
 
 
 def class_sizes(labels: DataFrame, label: str) -> tuple[int, int]:
@@ -92,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: s
     """Dictionaries from one half of the sample, the curve from the other half."""
     import zstandard
 
-    sample = labelled_sample(docs, labels, label, id_col, text_col, sample_rows).toPandas()
+    sample = labelled_sample(docs, labels, label, id_col, text_col, sample_rows).toPandas().sort_values(["key", "text"], ignore_index=True)
     good, bad = (sample[sample.label == v].text.tolist() for v in (1, 0))
     if len(good) < 2 or len(bad) < 2:
         share = (len(good) + 1) / (len(good) + len(bad) + 2)

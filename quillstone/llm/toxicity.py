@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_remainder, materialize
-from .quality import class_sizes
+from .quality import class_sizes, labelled_sample
 
-#: Bounds of the fit: labelled rows of each class, and terms in the learned lexicon.
+#: Bounds of the fit: labelled rows of each class, characters of such a row, and terms in the learned lexicon.
 SAMPLE_ROWS = 2000
+SAMPLE_CHARS = 50_000
 LEXICON_SIZE = 400
 MIN_TOXIC_DF = 3
 MIN_TOXIC_SHARE = 0.008
@@ -48,13 +49,22 @@ _OBFUSCATED = re.compile(r"[0-9@$*!|]+[a-z]")
 
 def lexicon_terms(words: Column) -> Column:
     """The distinct words of an array and their beginnings, written with a star."""
-    starts = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in PREFIXES]
-    return F.array_distinct(F.concat(words, *starts))
+
+    def starts(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    return F.array_distinct(F.concat(words, *map(starts, PREFIXES)))
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """term -> log lift, from (text, label) rows; at most ``LEXICON_SIZE`` terms reach the driver."""
+    """term -> log lift, from (text, label) rows; at most ``LEXICON_SIZE`` terms reach the driver.
+
+    Copies of one text would count its words again and again, so of the texts whose long words have the
+    same smallest hash only one counts.
+    """
     words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)"))
+    sketch = F.coalesce(F.array_min(F.transform(F.filter(words, lambda w: F.length(w) >= 7), lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    labelled = materialize(labelled.select("text", "label", sketch.alias("sketch")).dropDuplicates(["label", "sketch"]))
     totals = labelled.agg(F.sum("label").alias("t"), F.count("label").alias("n")).first()
     toxic, clean = float(totals.t or 0), float((totals.n or 0) - (totals.t or 0))
     if not toxic or not clean:
@@ -108,20 +118,17 @@ def features(docs: DataFrame, lexicon: dict[str, float], *, id_col: str = "doc_i
 
 def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", trees: int = 20, depth: int = 3) -> DataFrame:
     """id, raw tree probability and calibrated score of every text, learned from ``labels``."""
-    marks = labels.select(F.col(id_col), F.col(label).cast("int").alias("label")).where("label in (0, 1)").dropDuplicates([id_col])
-    both = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(marks, id_col)
-    order = [F.xxhash64(F.col(id_col)), F.col(id_col), F.xxhash64("text")]
-    sample = both.where("label = 1").orderBy(*order).limit(SAMPLE_ROWS).unionByName(both.where("label = 0").orderBy(*order).limit(SAMPLE_ROWS))
-    sample = materialize(sample.withColumn("fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(4))))
+    sample = labelled_sample(docs, labels, label, id_col, text_col, SAMPLE_ROWS, SAMPLE_CHARS)
+    sample = materialize(sample.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(4))))
     seen = {(r.fold == 0, r.label) for r in sample.select("fold", "label").distinct().collect()}
     if seen != {(True, 0), (True, 1), (False, 0), (False, 1)}:
         n = sample.agg(F.sum("label").alias("t"), F.count("label").alias("n")).first()
         prior = F.lit(((n.t or 0) + 1) / (n.n + 2))
         return docs.select(F.col(id_col), prior.alias("raw"), prior.alias("score"))
     lexicon = learn_lexicon(sample.where("fold <> 0"))
-    rows = materialize(features(sample, lexicon, id_col=id_col, keep=("label", "fold")))
+    rows = materialize(features(sample, lexicon, id_col="key", keep=("label", "fold")))
     vectors = rows.withColumn("vector", array_to_vector("features"))
-    n0, n1 = class_sizes(marks, "label")
+    n0, n1 = class_sizes(labels, label)
     held = {r.label: r.n for r in sample.where("fold = 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
     model = GBTClassifier(featuresCol="vector", labelCol="label", predictionCol="guess", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11, minInstancesPerNode=2).fit(vectors.where("fold <> 0").coalesce(2))
     raw = lambda df: model.transform(df).withColumn("raw", vector_to_array("probability")[1])
