@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op6_bpe
 from .common import table
 from .quality import op7_quality
 from .toxicity import op10_toxicity
@@ -19,7 +20,12 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_bpe(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_bpe": q6,
     "op7_quality": q7,
     "op10_toxicity": q10,
 }
