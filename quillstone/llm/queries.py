@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe
 from .common import table
 from .quality import op7_quality
+from .secrets import op3_secrets
 from .toxicity import op10_toxicity
 
 
@@ -24,7 +25,12 @@ def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_bpe(table(spark, sf_dir, "documents"))
 
 
+def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secrets": q3,
     "op6_bpe": q6,
     "op7_quality": q7,
     "op10_toxicity": q10,
