@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
 from .common import table
+from .neardup import op1_near_duplicates
 from .quality import op7_quality
 from .secrets import op3_secrets
 from .toxicity import op10_toxicity
@@ -29,7 +30,12 @@ def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_secrets(table(spark, sf_dir, "documents"))
 
 
+def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": q1,
     "op3_secrets": q3,
     "op6_bpe": q6,
     "op7_quality": q7,

@@ -86,7 +86,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return h[:0]
-    out = np.full(m, np.uint64(n) * np.uint64(_MULT), dtype=np.uint64)
+    out = np.full(m, (n * _MULT) & _MASK, dtype=np.uint64)
     for i in range(n):
         out = mix(out + h[i : i + m] * (_STEP[i % 8] + np.uint64(2 * (i // 8)))) if i % 8 == 7 else out + (h[i : i + m] ^ (h[i : i + m] >> np.uint64(29))) * _STEP[i % 8]
     return mix(out)
