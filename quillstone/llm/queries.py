@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
 from .common import table
+from .licenses import op9_licenses
 from .neardup import op1_near_duplicates
 from .quality import op7_quality
 from .secrets import op3_secrets
 from .toxicity import op10_toxicity
+from .urls import op8_urls
 
 
 def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +36,21 @@ def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def q8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_urls(table(spark, sf_dir, "pages"))
+
+
+def q9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": q1,
     "op3_secrets": q3,
     "op6_bpe": q6,
     "op7_quality": q7,
+    "op8_urls": q8,
+    "op9_licenses": q9,
     "op10_toxicity": q10,
 }
 
