@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe
 from .common import table
 from .licenses import op9_licenses
+from .lm import op2_lm
 from .neardup import op1_near_duplicates
 from .quality import op7_quality
 from .secrets import op3_secrets
@@ -44,8 +45,13 @@ def q9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_licenses(table(spark, sf_dir, "documents"))
 
 
+def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_lm(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": q1,
+    "op2_lm": q2,
     "op3_secrets": q3,
     "op6_bpe": q6,
     "op7_quality": q7,
