@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
 from .common import table
+from .decontaminate import op5_decontaminate
 from .licenses import op9_licenses
 from .lm import op2_lm
 from .neardup import op1_near_duplicates
@@ -49,10 +50,15 @@ def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_lm(table(spark, sf_dir, "documents"))
 
 
+def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": q1,
     "op2_lm": q2,
     "op3_secrets": q3,
+    "op5_decontaminate": q5,
     "op6_bpe": q6,
     "op7_quality": q7,
     "op8_urls": q8,

@@ -18,6 +18,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Cuts at every ASCII character that is no letter or digit; other characters belong to words.
+PUNCTUATED = np.ones(256, dtype=bool)
+PUNCTUATED[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
 _powers: dict[int, np.ndarray] = {}
 
@@ -61,13 +64,13 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[li
         yield out
 
 
-def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(docs: list[bytes], gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, offsets: words of text i are hashes[offsets[i]:offsets[i+1]])."""
     lens = np.fromiter((len(d) + 1 for d in docs), dtype=np.int64, count=len(docs))
     ends = np.cumsum(lens)
     buf = np.frombuffer(b" ".join(docs) + b" ", dtype=np.uint8)
     n = len(buf)
-    word = ~_SPACE[buf]
+    word = ~gaps[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word)).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
     prefix = np.zeros(n + 1, dtype=np.uint64)
