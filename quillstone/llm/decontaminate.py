@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .words import PUNCTUATED, chunks, grams, word_hashes
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5
-BLOCK_ITEMS = 16
+THRESHOLD = 0.6
+BLOCK_ITEMS = 8
+PASSAGE = 5
 SHARD_ITEMS = 20_000
 LEAST_STRIDE, MOST_STRIDE = 64, 4096
 GRAM = 4
@@ -101,21 +102,24 @@ def retrieve(index: Index, h: np.ndarray, offsets: np.ndarray) -> dict[tuple[int
     found: dict[tuple[int, int], float] = {}
     if not len(hit):
         return found
-    counts = np.diff(offsets)
-    per_text = np.maximum(1, -(-counts // index.stride) - 1)
-    text = np.repeat(np.arange(len(counts)), per_text)
-    first = np.concatenate([np.arange(n) for n in per_text]) * index.stride + np.repeat(offsets[:-1], per_text)
-    last = np.minimum(first + 2 * index.stride, np.repeat(offsets[1:], per_text))
-    a, b = np.searchsorted(hit, first), np.searchsorted(hit, last)
-    sums = np.zeros((len(hit) + 1, index.block_max.shape[1]))
-    np.cumsum(index.block_max[term], axis=0, out=sums[1:])
-    passages, blocks = np.nonzero(sums[b] - sums[a] >= index.block_thresholds - 1e-6)
-    for p, own in zip(*_runs(passages, blocks), strict=True):
-        words = np.unique(term[a[p] : b[p]])
-        # A term that stands there twice counted twice in the bound; now each counts once.
-        close = own[index.block_max[np.ix_(words, own)].sum(axis=0) >= index.block_thresholds[own]]
-        if not len(close):
-            continue
+    # A text falls into segments of a quarter stride; a passage is five in a row, so any stride of words lies in one.
+    width = index.stride // 4
+    segments = np.maximum(1, -(-np.diff(offsets) // width))
+    base = np.concatenate(([0], np.cumsum(segments)))
+    text = np.searchsorted(offsets, hit, side="right") - 1
+    segment = base[text] + (hit - offsets[text]) // width
+    last = np.maximum(base[:-1], base[1:] - PASSAGE)  # first segment of a text's last passage
+    starts = segment[:, None] - np.arange(PASSAGE)
+    inside = (starts >= base[text][:, None]) & (starts <= last[text][:, None])
+    pairs = np.sort((starts * len(index.terms) + term[:, None])[inside])
+    pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]  # a term counts once in a passage
+    passage, term = pairs // len(index.terms), pairs % len(index.terms)
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(passage)) + 1, [len(passage)]))
+    bound = np.add.reduceat(index.block_max[term], cut[:-1], axis=0)
+    text = np.searchsorted(base, passage[cut[:-1]], side="right") - 1
+    passages, blocks = np.nonzero(bound >= index.block_thresholds * (1 - 1e-5))
+    for p, close in zip(*_runs(passages, blocks), strict=True):
+        words = term[cut[p] : cut[p + 1]]
         columns = (close[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)).ravel()
         columns = columns[columns < len(index.item_ids)]
         score = index.impacts[np.ix_(words, columns)].sum(axis=0)
