@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op4_neighbours
 from .bpe import op6_bpe
 from .common import table
 from .decontaminate import op5_decontaminate
@@ -54,10 +55,15 @@ def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def q4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": q1,
     "op2_lm": q2,
     "op3_secrets": q3,
+    "op4_neighbours": q4,
     "op5_decontaminate": q5,
     "op6_bpe": q6,
     "op7_quality": q7,
