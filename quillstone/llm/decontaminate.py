@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,38 +147,59 @@ def overlap(part: np.ndarray, text_grams: dict[int, np.ndarray], n: int) -> floa
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = OVERLAP) -> DataFrame:
     """id, item, BM25 score of the best passage, and shares of the question and answer found, of every verified pair."""
-    spark = docs.sparkSession
-    shards = max(1, -(-benchmark.count() // SHARD_ITEMS))
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, bm25 double, question double, answer double"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out: DataFrame | None = None
-    for shard in range(shards):
-        part = items.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(shards)) == shard) if shards > 1 else items
-        index = spark.sparkContext.broadcast(build([(r.i, r.t) for r in part.collect()]))
+    for index in indexes(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            ix = index.value
             for pdf in batches:
-                pairs, row = [], 0
                 ids = pdf["_id"].tolist()
-                for docs_ in chunks(pdf["_text"]) if ix else ():
-                    h, offsets = word_hashes(docs_, PUNCTUATED)
-                    for (t, j), s in sorted(retrieve(ix, h, offsets).items()):
-                        own = h[offsets[t] : offsets[t + 1]]
-                        sizes = {n: np.unique(grams(own, n)) for n in range(1, GRAM + 1)}
-                        q, a = (max(overlap(p, sizes, n) for n in ((GRAM,) if len(p) > 1 else range(1, GRAM + 1))) for p in (ix.questions[j], ix.answers[j]))
-                        if q >= least and a >= least:
-                            pairs.append((ids[row + t], ix.item_ids[j], s, q, a))
-                    row += len(docs_)
-                yield pd.DataFrame(pairs, columns=[id_col, item_col, "bm25", "question", "answer"])
+                yield pd.DataFrame([(ids[row], *found) for row, *found in verified(index.value, pdf["_text"], least)], columns=[id_col, item_col, "bm25", "question", "answer"])
 
         found = rows.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = OVERLAP) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts hold no item."""
+    for index in indexes(benchmark, item_col, item_text):
+
+        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                bad = {row for row, *_ in verified(index.value, pdf[text_col], least)}
+                yield pdf[[i not in bad for i in range(len(pdf))]]
+
+        docs = docs.mapInPandas(run, docs.schema)
+    return docs
+
+
+def indexes(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
+    """The broadcast index of each shard of the items."""
+    shards = max(1, -(-benchmark.count() // SHARD_ITEMS))
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
+    for shard in range(shards):
+        part = items.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(shards)) == shard) if shards > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast(build([(r.i, r.t) for r in part.collect()]))
+
+
+def verified(index: Index | None, texts: pd.Series, least: float) -> Iterator[tuple[int, object, float, float, float]]:
+    """(row, item, score, question share, answer share) of the pairs of a batch that hold."""
+    row = 0
+    for docs in chunks(texts) if index else ():
+        h, offsets = word_hashes(docs, PUNCTUATED)
+        for (t, j), s in sorted(retrieve(index, h, offsets).items()):
+            own = h[offsets[t] : offsets[t + 1]]
+            sizes = {n: np.unique(grams(own, n)) for n in range(1, GRAM + 1)}
+            # Parts of fewer than GRAM words were hashed as a whole.
+            q, a = (max(overlap(p, sizes, n) for n in ((GRAM,) if len(p) > 1 else range(1, GRAM + 1))) for p in (index.questions[j], index.answers[j]))
+            if q >= least and a >= least:
+                yield row + t, index.item_ids[j], s, q, a
+        row += len(docs)
+
+
 def op5_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified (doc_id, item_id) pairs with their score and overlaps."""
     return matches(docs, benchmark)

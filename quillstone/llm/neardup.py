@@ -179,6 +179,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, one for each component and id; rows with a null id all stay."""
+    dropped = near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col(id_col) != F.col("component_id")).select(id_col)
+    named = docs.where(F.col(id_col).isNotNull()).join(dropped, id_col, "left_anti").dropDuplicates([id_col])
+    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op1_near_duplicates(docs: DataFrame) -> DataFrame:
     """The contract's columns; kept marks the smallest id of each component."""
     found = near_duplicates(docs)

@@ -15,7 +15,7 @@ Rows with null ids are scored as any other, repeated rows give repeated results.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -118,13 +118,26 @@ def features(docs: DataFrame, lexicon: dict[str, float], *, id_col: str = "doc_i
 
 def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", trees: int = 20, depth: int = 3) -> DataFrame:
     """id, raw tree probability and calibrated score of every text, learned from ``labels``."""
+    return fitted(docs, labels, label=label, id_col=id_col, text_col=text_col, trees=trees, depth=depth)(docs)
+
+
+def reject(docs: DataFrame, labels: DataFrame, *, most: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score stays below ``most``."""
+    names = {c: f"_kept{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    scored = fitted(docs, labels, id_col=id_col, text_col=text_col)(renamed, names[id_col], names[text_col], tuple(n for c, n in names.items() if c != id_col))
+    return scored.where(F.col("score") < most).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", trees: int = 20, depth: int = 3) -> Callable[..., DataFrame]:
+    """Learns from ``labels``; the function that comes back adds raw and score to the id and kept columns of texts."""
     sample = labelled_sample(docs, labels, label, id_col, text_col, SAMPLE_ROWS, SAMPLE_CHARS)
     sample = materialize(sample.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(4))))
     seen = {(r.fold == 0, r.label) for r in sample.select("fold", "label").distinct().collect()}
     if seen != {(True, 0), (True, 1), (False, 0), (False, 1)}:
         n = sample.agg(F.sum("label").alias("t"), F.count("label").alias("n")).first()
         prior = F.lit(((n.t or 0) + 1) / (n.n + 2))
-        return docs.select(F.col(id_col), prior.alias("raw"), prior.alias("score"))
+        return lambda texts, id_col=id_col, text_col=text_col, keep=(): texts.select(F.col(id_col), *keep, prior.alias("raw"), prior.alias("score"))
     lexicon = learn_lexicon(sample.where("fold <> 0"))
     rows = materialize(features(sample, lexicon, id_col="key", keep=("label", "fold")))
     vectors = rows.withColumn("vector", array_to_vector("features"))
@@ -135,9 +148,13 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
   
     calibration = raw(vectors.where("fold = 0")).select(F.col("label").cast("double").alias("label"), "raw", F.when(F.col("label") == 1, n1 / held[1]).otherwise(n0 / held[0]).alias("weight"))
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score", weightCol="weight").fit(calibration)
-    scored = raw(features(docs, lexicon, id_col=id_col, text_col=text_col).withColumn("vector", array_to_vector("features")))
-    out = curve.transform(scored.select(F.col(id_col), "raw"))
-    return out.select(F.col(id_col), "raw", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+    def apply(texts: DataFrame, id_col: str = id_col, text_col: str = text_col, keep: tuple[str, ...] = ()) -> DataFrame:
+        scored = raw(features(texts, lexicon, id_col=id_col, text_col=text_col, keep=keep).withColumn("vector", array_to_vector("features")))
+        out = curve.transform(scored.select(F.col(id_col), *keep, "raw"))
+        return out.select(F.col(id_col), *keep, "raw", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+    return apply
 
 
 def op10_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
