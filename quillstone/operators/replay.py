@@ -7,6 +7,7 @@ user, whose events stay few while the number of keys grows with the data.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,8 @@ CLOSED = "array<struct<date:date,qty:double,proceeds:double,cost:double,first_da
 
 
 def events_of(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """keys and the sorted array ``events`` of (order..., side, qty, gross, fee, trade_date)."""
-    row = F.struct(*order, "side", F.col("qty").cast("double").alias("q"), F.col("gross").cast("double").alias("g"), F.col("fee").cast("double").alias("f"), F.col("trade_date").alias("d"))
+    """keys and the sorted array ``events`` of (order, side, qty, gross, fee, trade_date)."""
+    row = F.struct(F.struct(*order).alias("o"), "side", F.col("qty").cast("double").alias("q"), F.col("gross").cast("double").alias("g"), F.col("fee").cast("double").alias("f"), F.col("trade_date").alias("d"))
     return trades.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("events"))
 
 
@@ -76,8 +77,8 @@ def fifo_accounts(events: DataFrame, keys: list[str]) -> DataFrame:
     cost, realised, skipped.  Lots that move between buckets are what the built-in folds can't express.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["trade_date", "seq"], kind="stable")
+
+    def replay(rows: list) -> list[tuple]:
         lots: dict[object, list[list]] = {}
         realised: dict[object, float] = {}
         skipped: dict[object, int] = {}
@@ -99,7 +100,7 @@ def fifo_accounts(events: DataFrame, keys: list[str]) -> DataFrame:
                 qty -= part
             return out
 
-        for e in pdf.itertuples():
+        for e in rows:
             lots.setdefault(e.account, [])
             if e.side == "BUY":
                 lots[e.account].append([e.qty, e.gross + e.fee, e.trade_date])
@@ -108,12 +109,28 @@ def fifo_accounts(events: DataFrame, keys: list[str]) -> DataFrame:
                     realised[e.account] = realised.get(e.account, 0.0) + e.gross - e.fee - sum(x[1] for x in got)
                 else:
                     lots[e.to_account] = sorted(lots.get(e.to_account, []) + got, key=lambda x: x[2])
-        first = pdf[keys].iloc[0].tolist()
-        rows = [(*first, a, sum(x[0] for x in ls), sum(x[1] for x in ls), realised.get(a, 0.0), skipped.get(a, 0)) for a, ls in lots.items()]
-        return pd.DataFrame(rows, columns=[*keys, "account", "qty", "cost", "realised", "skipped"])
+        first = tuple(getattr(rows[0], k) for k in keys)
+        return [(*first, a, sum(x[0] for x in ls), sum(x[1] for x in ls), realised.get(a, 0.0), skipped.get(a, 0)) for a, ls in lots.items()]
+
+    columns = [*keys, "account", "qty", "cost", "realised", "skipped"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Partitions hold whole keys in order; a key's events may cross the batches of one partition."""
+        held: list = []
+        for pdf in batches:
+            out = []
+            for e in pdf.itertuples(index=False):
+                if held and any(getattr(held[0], k) != getattr(e, k) for k in keys):
+                    out += replay(held)
+                    held = []
+                held.append(e)
+            yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame(replay(held), columns=columns)
 
     kinds = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
-    return events.groupBy(*keys).applyInPandas(run, f"{kinds}, account {events.schema['account'].dataType.simpleString()}, qty double, cost double, realised double, skipped int")
+    ordered = events.repartition(*keys).sortWithinPartitions(*keys, "trade_date", "seq")
+    return ordered.mapInPandas(run, f"{kinds}, account {events.schema['account'].dataType.simpleString()}, qty double, cost double, realised double, skipped int")
 
 
 def xirr(flows: DataFrame, keys: list[str], date: str = "d", amount: str = "amount", steps: int = 100) -> DataFrame:

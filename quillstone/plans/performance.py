@@ -305,7 +305,7 @@ ORACLE = {
     "invested_peak": T + f", y AS (SELECT user_id, trade_date, SUM({_FLOW}) AS flow FROM trades GROUP BY ALL), i AS (SELECT *, SUM(flow) OVER (PARTITION BY user_id ORDER BY trade_date) AS invested FROM y) SELECT user_id, {_D('MAX(invested)')} AS peak, {_D('max_by(invested, trade_date)')} AS last FROM i GROUP BY 1",
     "return_curve": _CURVE + " SELECT CAST(d AS VARCHAR) AS d, ROUND(mv, 2) AS mv, ROUND(inflow, 2) AS inflow, ROUND(outflow, 2) AS outflow, ROUND(r, 6) AS r, ROUND(factor - 1, 6) AS cumulative FROM k",
     "drawdown": _CURVE + " SELECT CAST(d AS VARCHAR) AS d, ROUND(drawdown, 6) AS drawdown FROM k",
-    "risk_metrics": _CURVE + ", g AS (SELECT count(r) AS n, max_by(factor, d) AS f, MAX(d) - MIN(d) AS span, stddev_samp(r) AS sd, AVG(r) AS m, SUM(CASE WHEN r < 0 THEN r * r ELSE 0 END) AS down, MIN(drawdown) AS dd FROM k), p AS (SELECT *, 365.25::DOUBLE * n / span AS ppy FROM g) SELECT ROUND(f - 1, 6) AS total, ROUND(pow(f, 365.25::DOUBLE / span) - 1, 5) AS annual, ROUND(sd * sqrt(ppy), 6) AS volatility, ROUND(m * ppy / (sd * sqrt(ppy)), 6) AS sharpe, ROUND(m * ppy / (sqrt(down / n) * sqrt(ppy)), 6) AS sortino, ROUND(dd, 6) AS max_drawdown, CAST(span AS INTEGER) AS span FROM p",
+    "risk_metrics": _CURVE + ", g AS (SELECT count(r) AS n, max_by(factor, d) AS f, MAX(d) - MIN(d) AS span, stddev_samp(r) AS sd, AVG(r) AS m, SUM(CASE WHEN r < 0 THEN r * r ELSE 0 END) AS down, MIN(drawdown) AS dd FROM k), py AS (SELECT *, 365.25::DOUBLE * n / span AS ppy FROM g) SELECT ROUND(f - 1, 6) AS total, ROUND(pow(f, 365.25::DOUBLE / span) - 1, 5) AS annual, ROUND(sd * sqrt(ppy), 6) AS volatility, ROUND(m * ppy / (sd * sqrt(ppy)), 6) AS sharpe, ROUND(m * ppy / (sqrt(down / n) * sqrt(ppy)), 6) AS sortino, ROUND(dd, 6) AS max_drawdown, CAST(span AS INTEGER) AS span FROM py",
     "benchmark_series": "WITH " + CLOSES_SQL + ", g AS (SELECT y.d, close FROM (SELECT DISTINCT d FROM closes) y LEFT JOIN closes ON closes.d = y.d AND symbol = 0), l AS (SELECT d, last_value(close IGNORE NULLS) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS level FROM g) SELECT CAST(d AS VARCHAR) AS d, ROUND(level / first_value(level IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) - 1, 6) AS r FROM l",
     "month_end": T + f", y AS (SELECT user_id, trade_date, SUM({_FLOW}) AS flow FROM trades GROUP BY ALL), i AS (SELECT *, SUM(flow) OVER (PARTITION BY user_id ORDER BY trade_date) AS invested, LEAD(trade_date) OVER (PARTITION BY user_id ORDER BY trade_date) AS nxt FROM y) SELECT user_id, CAST(trade_date AS VARCHAR) AS d, {_D('invested')} AS invested FROM i WHERE nxt IS NULL OR date_trunc('month', nxt) <> date_trunc('month', trade_date)",
     "period_pnl": T + f", g AS (SELECT user_id, CAST(year(trade_date) AS INTEGER) AS year, SUM(gross + fee) FILTER (side = 'BUY') AS i, SUM(gross - fee) FILTER (side = 'SELL') AS o FROM trades GROUP BY 1, 2) SELECT user_id, year, {_D('i')} AS inflow, {_D('o')} AS outflow, {_D('SUM(COALESCE(o, 0) - COALESCE(i, 0)) OVER (PARTITION BY user_id ORDER BY year)')} AS cumulative FROM g",
