@@ -1 +1,19 @@
-"""Queries: each module holds QUERIES (name -> callable) and ORACLE (name -> the same in DuckDB SQL)."""
+"""Ledger queries and the SQL that they are held against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import performance, relational
+
+_MODULES = (relational, performance)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
