@@ -5,10 +5,12 @@
    own random order (optimal densification).  ``BANDS`` bands of ``ROWS`` bins give bucket keys: a pair
    at similarity 0.85 meets in none of them with probability (1-0.85**5)**25, below one in a million.
 2. Texts with equal sets are one class, its representative the smallest id.
-3. In each bucket a centre is linked with the others: a star, not all pairs.  Links are confirmed on the
+3. Shingles that stand in one text of all buckets alone can't be shared: they bound the similarities of a
+   text, and a row that the bound keeps from every partner its bucket could hold leaves the bucket.
+4. In each bucket a centre is linked with the others: a star, not all pairs.  Links are confirmed on the
    full sets, components formed, and buckets that still hold several components are searched again from
-   further centres, whose number doubles each round, until no bucket has anything left to compare: no
-   link between candidates is lost, yet a bucket of copies costs its size and not the square.
+   further centres outside their largest component, four times as many each round, until nothing is left
+   to compare: no link between candidates is lost, yet a bucket of copies costs its size and not the square.
 
 Defined cases: null and empty texts and those without words have an empty set and are alone.  Rows with
 the same id and text give one row each, with the same component.  Rows with a null id take part in no
@@ -32,7 +34,11 @@ BANDS = BINS // ROWS
 SHINGLE = 5
 #: Buckets' pairs whose signatures agree in fewer bins than this share are not compared in full: at a true
 #: similarity of 0.85 the share has mean 0.85 and deviation 0.032.
-SKETCH_SHARE = 0.60
+SKETCH_SHARE = 0.65
+#: Smaller sets fill too few bins for that; all their pairs are compared in full.
+SKETCH_LEAST = 64
+#: Sets of so few shingles also meet by their smallest hashes (a prefix in hash order), which misses none.
+PREFIX_MOST = 18
 
 _ORDER = np.stack([np.random.default_rng(1009 + i).permutation(BINS) for i in range(BINS)])
 _STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
@@ -57,7 +63,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """id, n_shingles, two words of a hash of the whole set, band keys and one byte of each bin's smallest hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +78,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                     sig = signature(s)
                     one.append(int(np.bitwise_xor.reduce(mix(s)).astype(np.int64)))
                     two.append(int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)))
-                    bands.append(band_keys(sig))
+                    keys = band_keys(sig)
+                    if len(s) <= PREFIX_MOST:
+                        keys = np.concatenate((keys, mix(s[: len(s) - -(-percent * len(s) // 100) + 1]).view(np.int64)))
+                    bands.append(keys)
                     sketch.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
             yield pd.DataFrame({"id": pdf["id"], "n_shingles": n, "set_one": one, "set_two": two, "bands": bands, "sketch": sketch})
 
@@ -126,28 +135,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Two texts are linked if 100 * |A and B| >= percent * |A or B| for their shingle sets.
     """
-    made = materialize(signatures(docs, id_col, text_col, shingle))
+    made = materialize(signatures(docs, id_col, text_col, shingle, percent))
     some = made.where("id is not null and n_shingles > 0")
     classes = materialize(some.groupBy("set_one", "set_two", "n_shingles").agg(F.min("id").alias("rep")))
     reps = some.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = materialize(reps.select(F.col("id").alias("rep"), "n_shingles", "bands", "sketch"))
-    sketches = reps.select("rep", "n_shingles", "sketch")
 
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    active = materialize(buckets.join(shared, "key"))
+    met = materialize(buckets.join(shared, "key"))
+    members = met.select(F.col("rep").alias(id_col)).distinct()
+    texts = docs.select(id_col, text_col).join(members, id_col, "left_semi").dropDuplicates([id_col])
+    full = materialize(sets(texts, id_col, text_col, shingle).withColumnRenamed("id", "rep"))
+
+    # Shingles that no other text in any bucket has can't be in an intersection: the rest bounds every similarity.
+    lone = full.select("rep", F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    lone = lone.groupBy("rep").agg(F.count("*").alias("lone"))
+    known = materialize(reps.join(members.withColumnRenamed(id_col, "rep"), "rep").join(lone, "rep", "left").select("rep", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common")))
+
+    def reaches(most: Column, n_a: Column, n_b: Column) -> Column:
+        return most * (100 + percent) >= (n_a + n_b) * percent
+
+    sized = met.join(known.select("rep", "n_shingles", "common"), "rep")
+    span = sized.groupBy("key").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    partner = F.least(F.greatest("common", "low"), "high")  # the size of the best partner that the bucket could hold
+    active = materialize(sized.join(span, "key").where(reaches(F.least(F.col("common"), partner), F.col("n_shingles"), partner)).drop("low", "high"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of the candidate pairs (a, b) those whose full sets are similar enough."""
-        named = lambda p: sketches.select(F.col("rep").alias(p), F.col("n_shingles").alias(f"n_{p}"), F.col("sketch").alias(f"s_{p}"))
-        sized = pairs.join(named("b"), "b").join(named("a"), "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        likely = materialize(sized.where(sketch_share("s_a", "s_b") >= SKETCH_SHARE).select("a", "b", "n_a", "n_b"))
-        wanted = likely.select(F.col("a").alias(id_col)).unionByName(likely.select(F.col("b").alias(id_col))).distinct()
-        texts = docs.select(id_col, text_col).join(wanted, id_col, "left_semi").dropDuplicates([id_col])
-        full = materialize(sets(texts, id_col, text_col, shingle))
-        left, right = full.select(F.col("id").alias("a"), F.col("members").alias("set_a")), full.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
+        named = lambda p: known.select(F.col("rep").alias(p), F.col("n_shingles").alias(f"n_{p}"), F.col("sketch").alias(f"s_{p}"))
+        sketched = pairs.join(named("b"), "b").join(named("a"), "a")
+        alike = (F.least("n_a", "n_b") < SKETCH_LEAST) | (sketch_share("s_a", "s_b") >= SKETCH_SHARE)
+        likely = materialize(sketched.where(alike).select("a", "b", "n_a", "n_b"))
+        wanted = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
+        some_sets = full.join(wanted, "rep", "left_semi")
+        left, right = some_sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), some_sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b"))
         both: Column = F.size(F.array_intersect("set_a", "set_b"))
-        return likely.join(right, "b").join(left, "a").withColumn("both", both).where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
+        return likely.join(right, "b").join(left, "a").withColumn("both", both).where(reaches(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
     edges: DataFrame | None = None
     labels: DataFrame | None = None
@@ -157,19 +181,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             labelled = active.withColumn("component", F.col("rep"))
         else:
             labelled = active.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        spread = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        labelled = materialize(labelled.join(spread, "key").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))))
+        labelled = materialize(labelled)
+        # A bucket's largest component needs no centre of its own: each other row meets its rows as a centre.
+        counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+        mixed = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("main")).where("kinds > 1").select("key", "main")
+        labelled = materialize(labelled.join(mixed, "key").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))))
         if labelled.isEmpty():
             break
-        chosen = labelled.groupBy("key", "slot").agg(F.min(F.struct("rep", "component")).alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.component").alias("centre_component"))
-        met = labelled.join(chosen, "key").where("component <> centre_component")
-        pairs = met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        rare = F.col("n_shingles") - F.col("common")
+        best = F.min(F.struct(rare.alias("rare"), "rep", "component", "n_shingles", "common"))
+        chosen = labelled.where("component <> main").groupBy("key", "slot").agg(best.alias("c"))
+        chosen = materialize(chosen.select("key", F.col("c.rep").alias("centre"), F.col("c.component").alias("c_component"), F.col("c.n_shingles").alias("c_n"), F.col("c.common").alias("c_common")))
+        most = F.least("common", "c_common", "n_shingles", "c_n")
+        near = labelled.join(chosen, "key").where((F.col("component") != F.col("c_component")) & reaches(most, F.col("n_shingles"), F.col("c_n")))
+        pairs = near.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         new = materialize(confirmed(pairs))
         edges = new if edges is None else edges.unionByName(new)
-        if not edges.isEmpty():
+        if not new.isEmpty():
             labels = components(edges)
-        active = materialize(labelled.select("key", "rep").join(chosen.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti"))
-        centres *= 2
+        active = labelled.select("key", "rep", "n_shingles", "common").join(chosen.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
+        centres *= 4
 
     reached = classes.withColumn("links", F.lit(0).cast("long")).withColumn("component", F.col("rep"))
     if labels is not None:
