@@ -7,10 +7,12 @@
 2. Texts with equal sets are one class, its representative the smallest id.
 3. Shingles that stand in one text of all buckets alone can't be shared: they bound the similarities of a
    text, and a row that the bound keeps from every partner its bucket could hold leaves the bucket.
-4. In each bucket a centre is linked with the others: a star, not all pairs.  Links are confirmed on the
-   full sets, components formed, and buckets that still hold several components are searched again from
-   further centres outside their largest component, four times as many each round, until nothing is left
-   to compare: no link between candidates is lost, yet a bucket of copies costs its size and not the square.
+4. In each bucket the text with the fewest shingles of its own is linked with the others: a star, not all
+   pairs.  Links are confirmed on the full sets and components formed.
+5. Texts that then still share a bucket with another component are joined exactly: shingles are ordered
+   by how few of these texts hold them, and only texts that share one of their rarest shingles, early
+   enough that the rest suffices (prefix and positional filter), in different components, are compared.
+   So no link between candidates is lost, yet a group of copies costs its size and not the square.
 
 Defined cases: null and empty texts and those without words have an empty set and are alone.  Rows with
 the same id and text give one row each, with the same component.  Rows with a null id take part in no
@@ -173,39 +175,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         both: Column = F.size(F.array_intersect("set_a", "set_b"))
         return likely.join(right, "b").join(left, "a").withColumn("both", both).where(reaches(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
-    edges: DataFrame | None = None
-    labels: DataFrame | None = None
-    centres = 1
-    while True:
-        if labels is None:
-            labelled = active.withColumn("component", F.col("rep"))
-        else:
-            labelled = active.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        labelled = materialize(labelled)
-        # A bucket's largest component needs no centre of its own: each other row meets its rows as a centre.
-        counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-        mixed = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("main")).where("kinds > 1").select("key", "main")
-        labelled = materialize(labelled.join(mixed, "key").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))))
-        if labelled.isEmpty():
-            break
-        rare = F.col("n_shingles") - F.col("common")
-        best = F.min(F.struct(rare.alias("rare"), "rep", "component", "n_shingles", "common"))
-        chosen = labelled.where("component <> main").groupBy("key", "slot").agg(best.alias("c"))
-        chosen = materialize(chosen.select("key", F.col("c.rep").alias("centre"), F.col("c.component").alias("c_component"), F.col("c.n_shingles").alias("c_n"), F.col("c.common").alias("c_common")))
-        most = F.least("common", "c_common", "n_shingles", "c_n")
-        near = labelled.join(chosen, "key").where((F.col("component") != F.col("c_component")) & reaches(most, F.col("n_shingles"), F.col("c_n")))
-        pairs = near.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        new = materialize(confirmed(pairs))
-        edges = new if edges is None else edges.unionByName(new)
-        if not new.isEmpty():
-            labels = components(edges)
-        active = labelled.select("key", "rep", "n_shingles", "common").join(chosen.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
-        centres *= 4
-
-    reached = classes.withColumn("links", F.lit(0).cast("long")).withColumn("component", F.col("rep"))
-    if labels is not None:
-        ends = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-        reached = classes.join(labels, "rep", "left").join(ends, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("links", F.coalesce("links", F.lit(0)))
+    def mixed(rows: DataFrame, key: str) -> DataFrame:
+        """The rows of the keys that hold several components, with the key's largest one as ``main``."""
+        counts = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
+        kinds = counts.groupBy(key).agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("main"))
+        return rows.join(kinds.where("kinds > 1").select(key, "main"), key)
+
+    # A star in every bucket, around the text with the fewest shingles of its own.
+    best = F.min(F.struct((F.col("n_shingles") - F.col("common")).alias("rare"), "rep", "n_shingles", "common"))
+    centre = active.groupBy("key").agg(best.alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n_shingles").alias("c_n"), F.col("c.common").alias("c_common"))
+    near = active.join(centre, "key").where((F.col("rep") != F.col("centre")) & reaches(F.least("common", "c_common", "n_shingles", "c_n"), F.col("n_shingles"), F.col("c_n")))
+    edges = materialize(confirmed(near.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()))
+    labels = components(edges)
+
+    # What still shares a bucket with another component is joined by rarest shingles.
+    left = mixed(active.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "key")
+    left = materialize(left.select("rep", "n_shingles", "component").distinct())
+    tokens = full.join(left.select("rep"), "rep", "left_semi").select("rep", F.explode("members").alias("token"))
+    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    needed = F.ceil(F.col("n_shingles") * percent / 100).cast("int")
+    prefix = ranked.join(left, "rep").select("rep", "n_shingles", "component", F.posexplode(F.slice("order", F.lit(1), F.col("n_shingles").cast("int") - needed + 1)).alias("at", "t"))
+    probes = materialize(mixed(prefix.where("t.df > 1").select("rep", "n_shingles", "component", "at", F.col("t.token").alias("token")), "token"))
+    other = probes.select("token", F.col("rep").alias("o_rep"), F.col("n_shingles").alias("o_n"), F.col("component").alias("o_component"), F.col("at").alias("o_at"))
+    possible = F.least(F.col("n_shingles") - F.col("at"), F.col("o_n") - F.col("o_at"))  # positional filter: what follows the shared shingle
+    joined = probes.where("component <> main").join(other, "token").where((F.col("component") != F.col("o_component")) & reaches(possible, F.col("n_shingles"), F.col("o_n")))
+    more = materialize(confirmed(joined.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()))
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        labels = components(edges)
+
+    ends = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    reached = classes.join(labels, "rep", "left").join(ends, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("links", F.coalesce("links", F.lit(0)))
     out = made.select("id", "n_shingles", "set_one", "set_two").join(reached, ["set_one", "set_two", "n_shingles"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
