@@ -7,8 +7,8 @@
 3. Spark ML's gradient-boosted trees on a bounded sample of labelled rows, isotonic calibration on
    labelled rows that the trees haven't seen.
 
-Defined cases: a null text counts as empty; an empty text has all features 0 and is scored; null labels
-are ignored; without both classes among the labels every score is the smoothed share of toxic labels.
+Defined cases: a null text counts as empty; texts without words get the smoothed share of toxic labels as
+their score; null labels are ignored; without both classes among the labels every score is the smoothed share of toxic labels.
 Rows with null ids are scored as any other, repeated rows give repeated results.
 """
 
@@ -101,7 +101,7 @@ def features(docs: DataFrame, lexicon: dict[str, float], *, id_col: str = "doc_i
         symbols = sum(text.count(c) for c in "#$%&*@|")
         return [
             float(len(hits)), len(hits) / n, float(len({toks[i] for i, _ in hits})), sum(v for _, v in hits) / n, near / n, len(yous) / n,
-            caps / len(text), shouted / n, marks / len(text), symbols / len(text), len(_OBFUSCATED.findall(low)) / n, float(n),
+            caps / len(text), shouted / n, marks / len(text), symbols / len(text), len(_OBFUSCATED.findall(low)) / n, float(len(toks)),
         ]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,8 +151,9 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col:
 
     def apply(texts: DataFrame, id_col: str = id_col, text_col: str = text_col, keep: tuple[str, ...] = ()) -> DataFrame:
         scored = raw(features(texts, lexicon, id_col=id_col, text_col=text_col, keep=keep).withColumn("vector", array_to_vector("features")))
-        out = curve.transform(scored.select(F.col(id_col), *keep, "raw"))
-        return out.select(F.col(id_col), *keep, "raw", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        out = curve.transform(scored.select(F.col(id_col), *keep, "raw", (F.element_at("features", -1) == 0).alias("_wordless")))
+        score = F.when(F.col("_wordless"), F.lit((n1 + 1) / (n0 + n1 + 2))).otherwise(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
+        return out.select(F.col(id_col), *keep, "raw", score.alias("score"))
 
     return apply
 
