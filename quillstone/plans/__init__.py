@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import performance, relational
+from . import events, performance, relational
 
-_MODULES = (relational, performance)
+_MODULES = (relational, performance, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,6 +17,12 @@ _SPLIT_DAY = "1998-06-30"
 R2 = 2
 
 
+def cents(col):
+    """Two digits, rounded from six as a decimal: engines differ in how they round a double at half a cent."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.round(col.cast("decimal(28,6)"), R2).cast("double")
+
+
 def signed(t: DataFrame):
     return F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
 
@@ -54,7 +60,7 @@ def first_oversell(spark: SparkSession, d: str) -> DataFrame:
 
 def avg_cost_holdings(spark: SparkSession, d: str) -> DataFrame:
     a = average_cost(trades(spark, d), KEY, ORDER)
-    return a.select("user_id", "symbol", F.round("qty", R2).alias("qty"), F.round("avg_cost", R2).alias("avg_cost"), F.round("total_cost", R2).alias("total_cost"))
+    return a.select("user_id", "symbol", cents("qty").alias("qty"), cents("avg_cost").alias("avg_cost"), cents("total_cost").alias("total_cost"))
 
 
 def fifo_state(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +71,8 @@ def fifo_summary(spark: SparkSession, d: str) -> DataFrame:
     f = fifo_state(spark, d)
     add = lambda a, g: F.aggregate(a, F.lit(0.0), lambda s, x: s + g(x))
     return f.select(
-        "user_id", "symbol", F.size("closed").alias("closed"), "skipped", F.round(add("closed", lambda c: c["proceeds"] - c["cost"]), R2).alias("realised"),
-        F.round(add("closed", lambda c: c["cost"]), R2).alias("sold_cost"), F.round(add("lots", lambda x: x["cost"]), R2).alias("open_cost"), F.round(add("lots", lambda x: x["qty"]), R2).alias("open_qty"),
+        "user_id", "symbol", F.size("closed").alias("closed"), "skipped", cents(add("closed", lambda c: c["proceeds"] - c["cost"])).alias("realised"),
+        cents(add("closed", lambda c: c["cost"])).alias("sold_cost"), cents(add("lots", lambda x: x["cost"])).alias("open_cost"), cents(add("lots", lambda x: x["qty"])).alias("open_qty"),
     )
 
 
@@ -76,12 +82,12 @@ def closed_trades(spark: SparkSession, d: str) -> DataFrame:
 
 def fifo_closed_trades(spark: SparkSession, d: str) -> DataFrame:
     c = closed_trades(spark, d)
-    return c.select("user_id", "symbol", F.col("date").cast("string").alias("date"), F.round("qty", R2).alias("qty"), F.round("proceeds", R2).alias("proceeds"), F.round("cost", R2).alias("cost"), F.datediff("date", "first_date").alias("holding_days"))
+    return c.select("user_id", "symbol", F.col("date").cast("string").alias("date"), cents("qty").alias("qty"), cents("proceeds").alias("proceeds"), cents("cost").alias("cost"), F.datediff("date", "first_date").alias("holding_days"))
 
 
 def fifo_open_lots(spark: SparkSession, d: str) -> DataFrame:
     o = fifo_state(spark, d).select("user_id", "symbol", F.posexplode("lots").alias("lot", "x"))
-    return o.select("user_id", "symbol", "lot", F.round("x.qty", R2).alias("qty"), F.round("x.cost", R2).alias("cost"), F.col("x.date").cast("string").alias("date"))
+    return o.select("user_id", "symbol", "lot", cents("x.qty").alias("qty"), cents("x.cost").alias("cost"), F.col("x.date").cast("string").alias("date"))
 
 
 def fifo_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -292,11 +298,11 @@ ORACLE = {
     "positions_clamped": _WALK + f" SELECT user_id, symbol, {_D('max_by(pos, ' + _LAST + ')')} AS final, {_D('MAX(pos)')} AS peak, {_D('SUM(pos)')} AS total FROM p GROUP BY 1, 2",
     "positions_split_adjusted": T + f", u AS (SELECT *, CAST({_SIGN} AS DOUBLE) / CAST(CASE WHEN trade_date > '{_SPLIT_DAY}' THEN {_FACTOR} ELSE 1.0 END AS DOUBLE) AS units FROM trades), f AS (SELECT *, SUM(units) {_W} AS free FROM u), p AS (SELECT *, free - LEAST(0, MIN(free) {_W}) AS pos FROM f) SELECT user_id, symbol, ROUND(max_by(pos, {_LAST}) * CAST({_FACTOR} AS DOUBLE), 4) AS shares FROM p GROUP BY 1, 2",
     "first_oversell": _WALK + f", l AS (SELECT *, COALESCE(LAG(pos) OVER (PARTITION BY user_id, symbol ORDER BY {ORDER_SQL}), 0) AS before FROM p) SELECT user_id, symbol, CAST(min_by(trade_date, {_LAST}) AS VARCHAR) AS first_date, {_D('min_by(qty, ' + _LAST + ')')} AS needed, {_D('min_by(before, ' + _LAST + ')')} AS available, count(*) AS n FROM l WHERE side = 'SELL' AND qty > before GROUP BY 1, 2",
-    "avg_cost_holdings": _AVG + " SELECT user_id, symbol, ROUND(qty, 2) AS qty, ROUND(CASE WHEN qty > 0 THEN cost / qty END, 2) AS avg_cost, ROUND(cost, 2) AS total_cost FROM a",
+    "avg_cost_holdings": _AVG + " SELECT user_id, symbol, CAST(ROUND(CAST(qty AS DECIMAL(28,6)), 2) AS DOUBLE) AS qty, CAST(ROUND(CAST(CASE WHEN qty > 0 THEN cost / qty END AS DECIMAL(28,6)), 2) AS DOUBLE) AS avg_cost, CAST(ROUND(CAST(cost AS DECIMAL(28,6)), 2) AS DOUBLE) AS total_cost FROM a",
     "cost_by_market": _AVG + " SELECT user_id, count(*) AS holdings, ROUND(SUM(cost), 2) AS cost, ROUND(SUM(qty), 2) AS qty FROM a WHERE qty > 0 GROUP BY 1",
-    "fifo_summary": _FIFO + ", l AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY rn DESC) = 1), g AS (SELECT user_id, symbol, CAST(count(*) FILTER (act = 2) AS INTEGER) AS closed, CAST(count(*) FILTER (act = 3) AS INTEGER) AS skipped, ROUND(COALESCE(SUM(proceeds - cost) FILTER (act = 2), 0), 2) AS realised, ROUND(COALESCE(SUM(cost) FILTER (act = 2), 0), 2) AS sold_cost FROM st GROUP BY 1, 2) SELECT g.*, ROUND(COALESCE(list_sum(lc), 0), 2) AS open_cost, ROUND(COALESCE(list_sum(lq), 0), 2) AS open_qty FROM g JOIN l ON g.user_id = l.user_id AND g.symbol = l.symbol",
-    "fifo_closed_trades": _CLOSED + " SELECT user_id, symbol, CAST(d AS VARCHAR) AS date, ROUND(q, 2) AS qty, ROUND(proceeds, 2) AS proceeds, ROUND(cost, 2) AS cost, CAST(d - first_date AS INTEGER) AS holding_days FROM c",
-    "fifo_open_lots": _FIFO + ", l AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY rn DESC) = 1), x AS (SELECT *, unnest(range(1, len(lq) + 1)) AS i FROM l) SELECT user_id, symbol, CAST(i - 1 AS INTEGER) AS lot, ROUND(lq[i], 2) AS qty, ROUND(lc[i], 2) AS cost, CAST(ld[i] AS VARCHAR) AS date FROM x",
+    "fifo_summary": _FIFO + ", l AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY rn DESC) = 1), g AS (SELECT user_id, symbol, CAST(count(*) FILTER (act = 2) AS INTEGER) AS closed, CAST(count(*) FILTER (act = 3) AS INTEGER) AS skipped, CAST(ROUND(CAST(COALESCE(SUM(proceeds - cost) FILTER (act = 2), 0) AS DECIMAL(28,6)), 2) AS DOUBLE) AS realised, CAST(ROUND(CAST(COALESCE(SUM(cost) FILTER (act = 2), 0) AS DECIMAL(28,6)), 2) AS DOUBLE) AS sold_cost FROM st GROUP BY 1, 2) SELECT g.*, CAST(ROUND(CAST(COALESCE(list_sum(lc), 0) AS DECIMAL(28,6)), 2) AS DOUBLE) AS open_cost, CAST(ROUND(CAST(COALESCE(list_sum(lq), 0) AS DECIMAL(28,6)), 2) AS DOUBLE) AS open_qty FROM g JOIN l ON g.user_id = l.user_id AND g.symbol = l.symbol",
+    "fifo_closed_trades": _CLOSED + " SELECT user_id, symbol, CAST(d AS VARCHAR) AS date, CAST(ROUND(CAST(q AS DECIMAL(28,6)), 2) AS DOUBLE) AS qty, CAST(ROUND(CAST(proceeds AS DECIMAL(28,6)), 2) AS DOUBLE) AS proceeds, CAST(ROUND(CAST(cost AS DECIMAL(28,6)), 2) AS DOUBLE) AS cost, CAST(d - first_date AS INTEGER) AS holding_days FROM c",
+    "fifo_open_lots": _FIFO + ", l AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY rn DESC) = 1), x AS (SELECT *, unnest(range(1, len(lq) + 1)) AS i FROM l) SELECT user_id, symbol, CAST(i - 1 AS INTEGER) AS lot, CAST(ROUND(CAST(lq[i] AS DECIMAL(28,6)), 2) AS DOUBLE) AS qty, CAST(ROUND(CAST(lc[i] AS DECIMAL(28,6)), 2) AS DOUBLE) AS cost, CAST(ld[i] AS VARCHAR) AS date FROM x",
     "fifo_overlap": T + f", f AS (SELECT *, SUM({_SIGN}) {_W} AS free FROM trades), ok AS (SELECT user_id, symbol FROM f GROUP BY 1, 2 HAVING MIN(free) >= 0), t AS (SELECT trades.* FROM trades JOIN ok USING (user_id, symbol)), b AS (SELECT *, SUM(qty) {_W} AS hi FROM t WHERE side = 'BUY'), s AS (SELECT *, SUM(qty) {_W} AS hi FROM t WHERE side = 'SELL'), m AS (SELECT s.user_id, CAST(LEAST(b.hi, s.hi) - GREATEST(b.hi - b.qty, s.hi - s.qty) AS DOUBLE) AS part, CAST(b.gross + b.fee AS DOUBLE) AS cost, CAST(b.qty AS DOUBLE) AS bq FROM s JOIN b ON s.user_id = b.user_id AND s.symbol = b.symbol AND b.hi - b.qty < s.hi AND b.hi > s.hi - s.qty) SELECT user_id, count(*) AS pairs, ROUND(SUM(part), 2) AS qty, ROUND(SUM(cost * part / bq), 2) AS cost FROM m GROUP BY 1",
     "realized_pnl": _CLOSED + " SELECT user_id, count(*) AS n, ROUND(SUM(pnl), 2) AS pnl, ROUND(SUM(cost), 2) AS cost, ROUND(SUM(pnl) / SUM(cost), 6) AS rate FROM c GROUP BY 1",
     "trade_skill": _CLOSED + ", g AS (SELECT user_id, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, AVG(pnl) FILTER (pnl > 0) AS w, AVG(-pnl) FILTER (pnl < 0) AS l, SUM(pnl) FILTER (pnl > 0) AS sw, SUM(-pnl) FILTER (pnl < 0) AS sl FROM c GROUP BY 1) SELECT user_id, wins, losses, ROUND(wins / (wins + losses), 6) AS win_rate, ROUND(w, 2) AS avg_win, ROUND(l, 2) AS avg_loss, ROUND(sw / sl, 6) AS profit_factor, ROUND((COALESCE(sw, 0) - COALESCE(sl, 0)) / (wins + losses), 2) AS expectancy FROM g",
