@@ -23,22 +23,25 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_WORD = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
+#: Rows that leave a task at once.
+OUT_ROWS = 256
 _NONE = 1 << 62
 
 
 @dataclass
 class Vocabulary:
-    """What a tokenizer file says: token ids, merges in rank order, special tokens, word-splitting pattern."""
+    """What a tokenizer file says: token ids, merges (left, right, whole id) in rank order, special tokens, word-splitting pattern."""
 
     ids: dict[str, int]
-    merges: list[tuple[str, str]]
+    merges: np.ndarray
     special: dict[str, int]
     pattern: str
     word_end: str
@@ -49,7 +52,9 @@ class Vocabulary:
             data = json.load(f)
         model = data["model"]
         split = next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        return Vocabulary(model["vocab"], [tuple(m) for m in model["merges"]], {t["content"]: t["id"] for t in data["added_tokens"]}, split, model["end_of_word_suffix"] or "")
+        ids = model["vocab"]
+        merges = np.array([(ids[a], ids[b], ids[a + b]) for a, b in model["merges"]], dtype=np.int64).reshape(-1, 3)
+        return Vocabulary(ids, merges, {t["content"]: t["id"] for t in data["added_tokens"]}, split, model["end_of_word_suffix"] or "")
 
 
 def byte_letters() -> list[str]:
@@ -65,8 +70,8 @@ class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.ids = vocab.ids
         self.token = {i: t for t, i in vocab.ids.items()} | {i: t for t, i in vocab.special.items()}
-        self.rank = {(vocab.ids[a] << 32) | vocab.ids[b]: k for k, (a, b) in enumerate(vocab.merges)}
-        self.merged = [vocab.ids[a + b] for a, b in vocab.merges]
+        self.rank = {k: i for i, k in enumerate(((vocab.merges[:, 0] << 32) | vocab.merges[:, 1]).tolist())}
+        self.merged = vocab.merges[:, 2].tolist()
         letters = byte_letters()
         self.inner = [vocab.ids.get(c) for c in letters]
         self.last = [vocab.ids.get(c + vocab.word_end) for c in letters]
@@ -147,12 +152,14 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(vocab.value)
         for pdf in batches:
-            ids, texts = [], []
-            for t in pdf["_text"]:
-                words = encoder.encode(t)
-                ids.append(b"".join([w[0] for w in words]))
-                texts.append(" ".join([w[1] for w in words if w[1]]))
-            yield pd.DataFrame({id_col: pdf[id_col], "ids": ids, "decoded": texts})
+            for at in range(0, len(pdf), OUT_ROWS):
+                part = pdf.iloc[at : at + OUT_ROWS]
+                ids, texts = [], []
+                for t in part["_text"]:
+                    words = encoder.encode(t)
+                    ids.append(b"".join([w[0] for w in words]))
+                    texts.append(" ".join([w[1] for w in words if w[1]]))
+                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "ids": ids, "decoded": texts})
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     return rows.mapInPandas(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids binary, decoded string")
