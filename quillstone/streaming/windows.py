@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def read_events(spark: SparkSession, folder: str, schema: str, max_files: int = 100) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, schema: StructType, max_files: int = 100) -> DataFrame:
     """A folder of Parquet files as a stream, so many files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
 
