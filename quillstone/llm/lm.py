@@ -88,6 +88,12 @@ def score(docs: DataFrame, trained: Column, *, id_col: str = "doc_id", text_col:
     dealt = docs.select(block.alias("block"), F.col(id_col).alias("id"), F.coalesce(trained, F.lit(False)).alias("trained"), F.col(text_col).alias("_text"))
     grouped = dealt.groupBy("block")
 
+    def by_shard(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order in which a block sends its sorted keys, and the shard of each in that order."""
+        shard = (keys % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(shard, kind="stable")
+        return by, shard[by]
+
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         h, offsets = tokens_of(pdf["_text"].tolist())
         weight = np.repeat(pdf["trained"].to_numpy(dtype=np.int64), np.diff(offsets))
@@ -95,9 +101,8 @@ def score(docs: DataFrame, trained: Column, *, id_col: str = "doc_id", text_col:
         for n in range(1, order + 1):
             key, inside = ngram_keys(h, offsets, n)
             k, c = _counted(key[inside], weight[inside])
-            shard = (k % np.uint64(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            k, c, shard = k[by], c[by], shard[by]
+            by, shard = by_shard(k)
+            k, c = k[by], c[by]
             cut = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)])) if len(shard) else [0]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 out.append((int(shard[a]), int(pdf["block"].iloc[0]), n, k[a:b].view(np.int64), c[a:b].astype(np.int32)))
@@ -106,8 +111,9 @@ def score(docs: DataFrame, trained: Column, *, id_col: str = "doc_id", text_col:
     counted = grouped.applyInPandas(count, "shard int, block int, n int, keys array<bigint>, counts array<int>")
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each block: what the others have counted of its n-grams; tokens and distinct words of this shard."""
+        """For each block: what the others have counted of its n-grams, in the order of its message; tokens and distinct words of this shard."""
         out = []
+        shard = int(pdf["shard"].iloc[0]) if len(pdf) else 0
         words = tokens = 0
         for n, part in pdf.groupby("n"):
             lens = part["keys"].map(len).to_numpy()
@@ -119,15 +125,13 @@ def score(docs: DataFrame, trained: Column, *, id_col: str = "doc_id", text_col:
             rest = _lookup(table, total, keys) - counts
             at = 0
             for b, k in zip(part["block"], lens, strict=True):
-                more = rest[at : at + k]
-                some = more > 0
-                out.append((int(b), int(n), keys[at : at + k][some].view(np.int64), more[some], 0, 0))
+                out.append((shard, int(b), int(n), rest[at : at + k], 0, 0))
                 at += k
         # Every block learns of every shard's totals.
-        out += [(b, 0, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), words, tokens) for b in range(blocks)]
-        return pd.DataFrame(out, columns=["block", "n", "keys", "counts", "words", "tokens"])
+        out += [(shard, b, 0, np.zeros(0, dtype=np.int64), words, tokens) for b in range(blocks)]
+        return pd.DataFrame(out, columns=["shard", "block", "n", "counts", "words", "tokens"])
 
-    model = counted.groupBy("shard").applyInPandas(gather, "block int, n int, keys array<bigint>, counts array<bigint>, words bigint, tokens bigint")
+    model = counted.groupBy("shard").applyInPandas(gather, "shard int, block int, n int, counts array<bigint>, words bigint, tokens bigint")
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, trained boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -141,10 +145,11 @@ def score(docs: DataFrame, trained: Column, *, id_col: str = "doc_id", text_col:
         tables = {}
         for n in range(1, order + 1):
             key, inside = ngram_keys(h, offsets, n)
-            part = slices[slices["n"] == n]
-            more = [np.asarray(a, dtype=np.int64) for a in part["keys"]]
-            have = [np.asarray(a, dtype=np.int64) for a in part["counts"]]
-            tables[n] = (*_counted(np.concatenate([key[inside], *(m.view(np.uint64) for m in more)]), np.concatenate([weight[inside], *have])), key, inside)
+            k, total = _counted(key[inside], weight[inside])
+            by, _ = by_shard(k)
+            part = slices[slices["n"] == n].sort_values("shard")
+            total[by] += np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(a, dtype=np.int64) for a in part["counts"])])
+            tables[n] = (k, total, key, inside)
         table, total, key, _ = tables[1]
         seen = _lookup(table, total, key)
         chance = (seen + 1.0) / (tokens + words + 1.0)

@@ -293,3 +293,12 @@ def test_pipeline_stages(spark, docs, sf_dir):
         now = spark.createDataFrame(rows, now.schema)
     assert now.where(F.col("text").contains(SECRET)).isEmpty()
     assert corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).count() == now.count()
+
+
+def test_language_model_in_many_blocks(docs):
+    trained = F.col("doc_id") % 3 > 0
+    one = lm.score(docs, trained, order=3).collect()
+    many = lm.score(docs, trained, order=3, block_chars=60_000).collect()
+    order = lambda rows: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in rows)
+    for a, b in zip(order(one), order(many), strict=True):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9)
