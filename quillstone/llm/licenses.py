@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 CONTAINMENT = 0.8
 
 # Base phrases and their labels.
@@ -53,18 +55,31 @@ def literal_words(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def word_order(docs: DataFrame, vocabulary: list[str], text_col: str) -> list[str]:
-    """The templates' words, rarest in the corpus first; as many rows reach the driver as the templates have words."""
-    held = docs.select(F.explode(F.array_intersect(words_of(F.col(text_col)), literal_words(vocabulary))).alias("word"))
-    counts = {r.word: r.n for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
+def vocabulary_of(templates: list[tuple[str, str]]) -> list[str]:
+    return sorted({w for _, t in templates for w in t.split()})
+
+
+def word_order(held: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The templates' words, rarest in the corpus first, from each text's own of them; as many rows reach the driver as the templates have words."""
+    words = held.select(F.explode("held").alias("word"))
+    counts = {r.word: r.n for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def template_matches(docs: DataFrame, *, key: list[str], text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+def may_hold(text: Column, words: list[str]) -> Column:
+    """Whether one of the words stands in the text: a quick test that words_of then confirms."""
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+    low = F.lower(text)
+    out = F.lit(False)
+    for w in words:
+        out = out | (low.contains(w) & low.rlike(f"(?:^|{gap}){w}(?:$|{gap})"))
+    return out
+
+
+def template_matches(docs: DataFrame, *, key: list[str], order: list[str], text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """key columns, block (line number), label and containment of the best matching templates of every block."""
     spark = docs.sparkSession
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    place = {w: i for i, w in enumerate(word_order(docs, vocabulary, text_col))}
+    place = {w: i for i, w in enumerate(order)}
     rows, prefixes = [], set()
     for number, (label, text) in enumerate(templates):
         ordered = sorted(set(text.split()), key=place.__getitem__)
@@ -74,8 +89,8 @@ def template_matches(docs: DataFrame, *, key: list[str], text_col: str = "text",
             prefixes.add(word)
     index = spark.createDataFrame(rows, "word string, template int, label string, template_words array<string>, at int, need int")
     first = literal_words(sorted(prefixes))
-    held = docs.select(*key, F.col(text_col).alias("_text")).where(F.arrays_overlap(words_of(F.col("_text")), first))
-    lines = held.select(*key, F.posexplode(F.split("_text", "\n")).alias("block", "line"))
+    held = docs.select(*key, F.col(text_col).alias("_text")).where(may_hold(F.col("_text"), sorted(prefixes)))
+    lines = held.select(*key, F.posexplode(F.split("_text", "\n")).alias("block", "line")).where(may_hold(F.col("line"), sorted(prefixes)))
     blocks = lines.select(*key, "block", F.array_distinct(words_of(F.col("line"))).alias("block_words"))
     probes = blocks.withColumn("word", F.explode(F.array_intersect("block_words", first)))
     # The index has as many rows as the templates have prefix words.
@@ -115,8 +130,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     The score is 1 where a base phrase stands, else the largest containment among the matching blocks, else 0.
     """
     keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(id_col, text_col).alias("_row"))
-    base = keyed.withColumn("_words", words_of(F.col(text_col))).select(id_col, "_row", F.size("_words").cast("long").alias("n_words"), phrase_places(F.col("_words"), phrases).alias("places"))
-    blocks = template_matches(keyed, key=[id_col, "_row"], text_col=text_col)
+    vocabulary = vocabulary_of(TEMPLATES)
+    worded = keyed.withColumn("_words", words_of(F.col(text_col)))
+    # The one pass that cuts whole texts into words.
+    base = materialize(worded.select(id_col, "_row", F.size("_words").cast("long").alias("n_words"), phrase_places(F.col("_words"), phrases).alias("places"), F.array_intersect("_words", literal_words(vocabulary)).alias("held")))
+    blocks = template_matches(keyed, key=[id_col, "_row"], order=word_order(base, vocabulary), text_col=text_col)
     matched = blocks.groupBy(id_col, "_row").agg(F.collect_set("label").alias("matched"), F.max("containment").alias("containment")).select(F.col(id_col).alias("_id"), F.col("_row").alias("_other"), "matched", "containment")
     joined = base.join(matched, (F.col("_row") == F.col("_other")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
     return joined.select(
