@@ -69,11 +69,7 @@ def word_order(held: DataFrame, vocabulary: list[str]) -> list[str]:
 def may_hold(text: Column, words: list[str]) -> Column:
     """Whether one of the words stands in the text: a quick test that words_of then confirms."""
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    low = F.lower(text)
-    out = F.lit(False)
-    for w in words:
-        out = out | (low.contains(w) & low.rlike(f"(?:^|{gap}){w}(?:$|{gap})"))
-    return out
+    return text.rlike(rf"(?:\A|{gap})(?i:{'|'.join(words)})(?:\z|{gap})")
 
 
 def template_matches(docs: DataFrame, *, key: list[str], order: list[str], text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
