@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,20 +150,21 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     """id, ``ids`` (binary: little-endian unsigned 32-bit) and ``decoded`` (the text that the ids decode to)."""
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Slices of the incoming batch: only OUT_ROWS texts at a time are Python strings.
         encoder = Encoder(vocab.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), OUT_ROWS):
-                part = pdf.iloc[at : at + OUT_ROWS]
+        for batch in batches:
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(at, OUT_ROWS)
                 ids, texts = [], []
-                for t in part["_text"]:
+                for t in part.column(1).to_pylist():
                     words = encoder.encode(t)
                     ids.append(b"".join([w[0] for w in words]))
                     texts.append(" ".join([w[1] for w in words if w[1]]))
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "ids": ids, "decoded": texts})
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids binary, decoded string")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
