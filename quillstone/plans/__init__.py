@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, performance, relational
+from . import events, fundamentals, performance, relational
 
-_MODULES = (relational, performance, events)
+_MODULES = (relational, performance, events, fundamentals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
