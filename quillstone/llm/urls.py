@@ -2,10 +2,11 @@
 
 Rules (a host and a path prefix each) decide what they fit; the longest wins.  The pages they decide are
 the labels from which the rest is judged, unless labelled verdicts are given.  Per host the paths form a
-tree: number-like segments and segments of nodes with many children become wildcards, and sibling
-branches whose shares of blocked pages the Hoeffding bound can't tell from their parent's are merged
-into the wildcard branch.  A template is rejected when its smoothed labelled purity reaches
-``REJECT``; without evidence it is allowed.
+tree, worked off to its longest path: number-like segments become wildcards (``*``), sibling branches
+whose shares of blocked pages the Hoeffding bound can't tell from their parent's are merged into one
+(``?``), and branches without any label are merged into another (``#``) below nodes with many children.
+So labelled and unlabelled siblings never share evidence, however many there are.  A template is
+rejected when its smoothed labelled purity reaches ``REJECT``; without evidence it is allowed.
 
 The tree is built from counts of distinct (host, path) pairs, never from the pages of one host in one
 task.
@@ -16,13 +17,16 @@ allowed.  Repeated rows give repeated results; rows with a null id are judged to
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-DEPTH = 4
 MAX_CHILDREN = 64
+#: Marks of merged branches; no segment holds these characters.
+SIMILAR, UNKNOWN = "?", "#"
 MIN_LABELLED = 5
 ALPHA = 0.05
 #: Weight of the neutral prior of 0.5 and the purity from which a template is rejected.
@@ -53,10 +57,9 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def segments_of(path: Column) -> Column:
-    """At most ``DEPTH`` segments, number-like ones as wildcards that keep their ending; what lies deeper is cut off as one mark."""
+    """All segments, number-like ones as wildcards that keep their ending."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    plain = F.transform(parts, lambda s: F.regexp_replace(s, r"^(?:[0-9]+|[0-9a-fA-F]{12,}|[0-9a-fA-F-]{32,})(?=\.|$)", "*"))
-    return F.when(F.size(plain) > DEPTH, F.concat(F.slice(plain, 1, DEPTH), F.array(F.lit("**")))).otherwise(plain)
+    return F.transform(parts, lambda s: F.regexp_replace(s, r"^(?:[0-9]+|[0-9a-fA-F]{12,}|[0-9a-fA-F-]{32,})(?=\.|$)", "*"))
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
@@ -64,19 +67,29 @@ def template_tree(labelled: DataFrame) -> DataFrame:
     paths = labelled.groupBy("host", "segments").agg(F.count("blocked").alias("seen"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
     at = materialize(paths.withColumn("template", F.array().cast("array<string>")))
     bound = F.sqrt(F.lit(0.5) * F.log(F.lit(2 / ALPHA)))
-    for depth in range(1, DEPTH + 2):
+    ended: list[DataFrame] = []
+    depth = 0
+    while not at.isEmpty():
+        depth += 1
         at = at.withColumn("segment", F.get("segments", F.lit(depth - 1)))
-        child = at.groupBy("host", "template", "segment").agg(F.sum("seen").alias("c_seen"), F.sum("bad").alias("c_bad"))
-        parent = child.groupBy("host", "template").agg(F.count("segment").alias("children"), F.sum("c_seen").alias("p_seen"), F.sum("c_bad").alias("p_bad"))
+        child = at.groupBy("host", "template", "segment").agg(F.sum("seen").alias("c_seen"), F.sum("bad").alias("c_bad"), F.count("*").alias("c_paths"))
+        parent = child.groupBy("host", "template").agg(F.count("segment").alias("children"), F.sum("c_seen").alias("p_seen"), F.sum("c_bad").alias("p_bad"), F.sum("c_paths").alias("p_paths"))
         gap = F.abs(F.try_divide(F.col("c_bad"), F.col("c_seen")) - F.try_divide(F.col("p_bad"), F.col("p_seen")))
         similar = (F.col("c_seen") >= MIN_LABELLED) & (F.col("children") > 1) & (gap < bound * (F.try_divide(F.lit(1.0), F.sqrt("c_seen")) + F.try_divide(F.lit(1.0), F.sqrt("p_seen"))))
-        step = child.join(parent, ["host", "template"]).select(
-            "host", "template", "segment", F.when(F.coalesce((F.col("children") > MAX_CHILDREN) | similar, F.lit(False)) & F.col("segment").isNotNull(), F.lit("*")).otherwise(F.col("segment")).alias("to")
-        )
+        unknown = (F.col("children") > MAX_CHILDREN) & (F.col("c_seen") == 0)
+        to = F.when(F.col("segment").isNull(), F.col("segment")).when(F.coalesce(similar, F.lit(False)), F.lit(SIMILAR)).when(unknown, F.lit(UNKNOWN)).otherwise(F.col("segment"))
+        step = child.join(parent, ["host", "template"]).select("host", "template", "segment", to.alias("to"), (F.col("p_paths") == 1).alias("alone"))
         left, right = at.alias("l"), step.alias("r")
         on = (F.col("l.host") == F.col("r.host")) & (F.col("l.template") == F.col("r.template")) & F.col("l.segment").eqNullSafe(F.col("r.segment"))
-        moved = left.join(right, on).select("l.host", "l.segments", "l.seen", "l.bad", F.col("l.template").alias("was"), F.col("r.to").alias("to"))
-        at = materialize(moved.select("host", "segments", "seen", "bad", F.when(F.col("to").isNull(), F.col("was")).otherwise(F.concat("was", F.array("to"))).alias("template")))
+        moved = left.join(right, on).select("l.host", "l.segments", "l.seen", "l.bad", F.col("l.template").alias("was"), F.col("r.to").alias("to"), "r.alone")
+        # A path that ends here, or goes on alone and so meets no sibling any more, is done.
+        rest = F.slice("segments", depth, F.greatest(F.size("segments") - (depth - 1), F.lit(0)))
+        template = F.when(F.col("to").isNull(), F.col("was")).when(F.col("alone"), F.concat("was", rest)).otherwise(F.concat("was", F.array("to")))
+        done = F.col("to").isNull() | F.col("alone")
+        moved = materialize(moved.select("host", "segments", "seen", "bad", template.alias("template"), done.alias("done")))
+        ended.append(moved.where("done").drop("done"))
+        at = moved.where(~F.col("done")).drop("done")
+    at = reduce(DataFrame.unionByName, ended, at)
     totals = at.groupBy("host", "template").agg(F.sum("seen").alias("n_labelled"), F.sum("bad").alias("n_bad"))
     purity = (F.col("n_bad") + PRIOR / 2) / (F.col("n_labelled") + PRIOR)
     return at.select("host", "segments", "template").join(totals.withColumn("purity", purity), ["host", "template"]).select("host", "segments", F.array_join("template", "/").alias("template"), "n_labelled", "purity")

@@ -247,6 +247,19 @@ def test_url_templates_learn_from_labels(spark):
     assert got == {200: "block", 201: "allow"}
 
 
+def test_url_branches_of_wide_nodes_and_deep_paths(spark):
+    """Many siblings don't lend their evidence to unlabelled pages nor hide a pure branch; what lies deep counts."""
+    rows = [(i, f"http://a.com/en/{i}", None) for i in range(6)] + [(100 + i, f"http://a.com/s{'abcdefghij'[i % 10]}x{i}/17", None) for i in range(80)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, bad int"), rules=[("com/en/", "block")]).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(6))
+    rows = [(1000 * k + i, f"http://h.test/{name}/{i}/x", int(k == 0)) for k, name in enumerate(["spam", *(f"news{j}" for j in range(70))]) for i in range(12)]
+    rows += [(200_000 + i, f"http://h.test/{i}/about", 1) for i in range(9)] + [(210_000 + i, f"http://h.test/news{i}/about", 0) for i in range(9)]
+    rows += [(300_000 + 100 * k + i, f"http://deep.test/a/b/c/d/e/{'spam' if k else 'news'}/{i}", k) for k in (0, 1) for i in range(40)]
+    asked = [(-1, "http://h.test/spam/99/x", None), (-2, "http://h.test/news3/99/x", None), (-3, "http://deep.test/a/b/c/d/e/spam/77", None), (-4, "http://deep.test/a/b/c/d/e/news/77", None), (-5, "http://h.test/77/about", None), (-6, "http://h.test/news55/about", None), (-7, "http://deep.test/" + "z/" * 300, None)]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows + asked, "page_id bigint, url string, bad int"), rules=[], label_col="bad").where("page_id < 0").collect()}
+    assert got == {-1: "block", -2: "allow", -3: "block", -4: "allow", -5: "block", -6: "allow", -7: "allow"}
+
+
 def test_licenses(docs, plain):
     word = re.compile(licenses.WORD)
 
