@@ -147,6 +147,22 @@ def test_secrets(docs, plain):
     assert SECRET not in clean.where("doc_id = 900005").first().text
 
 
+def test_secret_formats_among_many_ordinary_tokens(spark):
+    """A few credentials get their automata however many long tokens stand around them."""
+    rng = np.random.default_rng(3)
+    pick = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"
+    few = [f"x {y}" for _ in range(12) for y in ("AKIA" + pick(upper, 16), pick("0123456789abcdef", 32), f"password: {pick(low, 12)}")]
+    many = spark.range(60_000).select(F.concat(F.lit("see /archive/section-"), F.sha2(F.col("id").cast("string"), 256).substr(1, 5), F.lit("/"), "id", F.lit("/page")).alias("text"))
+    docs = spark.createDataFrame([(t,) for t in few], "text string").unionByName(many)
+    grammars = secrets.fit(docs)
+    assert set(grammars.formats) == {"assign", "access", "hex"}
+    # A key that no base pattern finds, its first letter alone being another.
+    token = "BKIA" + pick(upper, 16)
+    assert grammars.gain(token) > grammars.gain("/archive/section-ab12c/345/page")
+    assert secrets.redact(docs.limit(0), grammars).isEmpty()
+
+
 def test_nearest(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in table(spark, sf_dir, "embeddings").collect()]
     width = len(rows[0][1])
