@@ -1,11 +1,13 @@
 """License scans as an exact set-similarity join (operator 9), in DataFrame functions only.
 
-Text blocks are the lines of a text, templates a small fixed list.  A block matches a template if it
-holds at least ``CONTAINMENT`` of the template's distinct words.  Words are put in the order of their
+Text blocks are the lines of a text and, where a text has several lines, every window of consecutive
+words as long as a template may be with ``1 - CONTAINMENT`` of other words in between, so that notices
+which wrap are found; templates are a small fixed list.  A block matches every template of whose
+distinct words it holds at least ``CONTAINMENT``.  Words are put in the order of their
 document frequency in the corpus, rarest first.  A template of m words of which t are needed has its
 first m - t + 1 words as prefix: any matching block holds one of them (prefix filter), has t distinct
 words (length filter), and the words that follow the first common one suffice for t (positional
-filter).  What passes is verified on the whole sets, so nothing is lost.
+filter).  Windows are looked at around the prefix words alone.  What passes is verified on the whole sets, so nothing is lost.
 
 Beside this, three base phrases are located by word.
 
@@ -73,7 +75,7 @@ def may_hold(text: Column, words: list[str]) -> Column:
 
 
 def template_matches(docs: DataFrame, *, key: list[str], order: list[str], text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """key columns, block (line number), label and containment of the best matching templates of every block."""
+    """key columns, block (line number; null for windows of words), label and containment of every template that a block matches; best marks the largest of a line, or of the windows around a word."""
     spark = docs.sparkSession
     place = {w: i for i, w in enumerate(order)}
     rows, prefixes = [], set()
@@ -81,9 +83,10 @@ def template_matches(docs: DataFrame, *, key: list[str], order: list[str], text_
         ordered = sorted(set(text.split()), key=place.__getitem__)
         need = math.ceil(containment * len(ordered) - 1e-9)
         for at, word in enumerate(ordered[: len(ordered) - need + 1]):
-            rows.append((word, number, label, ordered, at, need))
+            rows.append((word, number, label, ordered, at, need, math.ceil(len(text.split()) / containment)))
             prefixes.add(word)
-    index = spark.createDataFrame(rows, "word string, template int, label string, template_words array<string>, at int, need int")
+    index = spark.createDataFrame(rows, "word string, template int, label string, template_words array<string>, at int, need int, width int")
+    widest = max((r[-1] for r in rows), default=1)
     first = literal_words(sorted(prefixes))
     held = docs.select(*key, F.col(text_col).alias("_text")).where(may_hold(F.col("_text"), sorted(prefixes)))
     lines = held.select(*key, F.posexplode(F.split("_text", "\n")).alias("block", "line")).where(may_hold(F.col("line"), sorted(prefixes)))
@@ -93,9 +96,20 @@ def template_matches(docs: DataFrame, *, key: list[str], order: list[str], text_
     met = probes.join(F.broadcast(index), "word").where((F.size("block_words") >= F.col("need")) & (F.size("template_words") - F.col("at") >= F.col("need")))
     common = F.array_intersect("template_words", "block_words")
     verified = met.withColumn("common", common).where((F.size("common") >= F.col("need")) & (F.element_at("common", 1) == F.col("word")))
-    scored = verified.groupBy(*key, "block").agg(F.collect_set(F.struct((F.size("common") / F.size("template_words")).alias("containment"), "label")).alias("met"))
-    best = F.filter("met", lambda m: m["containment"] == F.array_max(F.col("met"))["containment"])
-    return scored.select(*key, "block", F.explode(best).alias("best")).select(*key, "block", "best.label", "best.containment")
+    by_line = verified.select(*key, "block", F.lit(None).cast("array<string>").alias("near"), "label", (F.size("common") / F.size("template_words")).alias("containment"))
+    # Only the words around each prefix word leave a text, never the text once for each of them.
+    worded = held.where(F.contains("_text", F.lit("\n"))).select(*key, words_of(F.col("_text")).alias("words"))
+    marked = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda m: F.array_contains(first, m["word"]))
+    start = lambda m: F.greatest(m["i"] - (widest - 2), F.lit(1))
+    around = F.transform(marked, lambda m: F.slice(F.col("words"), start(m), m["i"] + widest - start(m) + 1))
+    near = worded.select(*key, F.explode(F.array_distinct(around)).alias("near")).crossJoin(F.broadcast(index.select("template", "label", "template_words", "need", "width").distinct()))
+    near = near.where(F.size(F.array_intersect("template_words", "near")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
+    most = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.col("template_words"), F.slice(F.col("near"), k, F.col("width"))))))
+    by_window = near.withColumn("most", most).where(F.col("most") >= F.col("need")).select(*key, F.lit(None).cast("int").alias("block"), "near", "label", (F.col("most") / F.size("template_words")).alias("containment"))
+    scored = by_line.unionByName(by_window).groupBy(*key, "block", "near").agg(F.collect_set(F.struct("containment", "label")).alias("met"))
+    told = F.transform("met", lambda m: m.withField("best", m["containment"] == F.array_max(F.col("met"))["containment"]))
+    return scored.select(*key, "block", F.inline(told))
 
 
 def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
@@ -121,7 +135,7 @@ def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """id, n_words, places (label and start of each base phrase), matched (labels of matching blocks) and score.
+    """id, n_words, places (label and start of each base phrase), matched (labels of all templates that blocks match), best (of each block's best ones) and score.
 
     The score is 1 where a base phrase stands, else the largest containment among the matching blocks, else 0.
     """
@@ -131,21 +145,21 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     # The one pass that cuts whole texts into words.
     base = materialize(worded.select(id_col, "_row", F.size("_words").cast("long").alias("n_words"), phrase_places(F.col("_words"), phrases).alias("places"), F.array_intersect("_words", literal_words(vocabulary)).alias("held")))
     blocks = template_matches(keyed, key=[id_col, "_row"], order=word_order(base, vocabulary), text_col=text_col)
-    matched = blocks.groupBy(id_col, "_row").agg(F.collect_set("label").alias("matched"), F.max("containment").alias("containment")).select(F.col(id_col).alias("_id"), F.col("_row").alias("_other"), "matched", "containment")
+    matched = blocks.groupBy(id_col, "_row").agg(F.collect_set("label").alias("matched"), F.collect_set(F.when(F.col("best"), F.col("label"))).alias("best"), F.max("containment").alias("containment")).select(F.col(id_col).alias("_id"), F.col("_row").alias("_other"), "matched", "best", "containment")
     joined = base.join(matched, (F.col("_row") == F.col("_other")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
     return joined.select(
-        id_col, "n_words", "places", F.coalesce("matched", F.array().cast("array<string>")).alias("matched"),
+        id_col, "n_words", "places", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("matched", "best")],
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
     )
 
 
 def op9_licenses(docs: DataFrame) -> DataFrame:
-    """The contract's columns, from the operator's places and labels."""
+    """The contract's columns, from the operator's places and labels; of a block's templates its best ones."""
     found = scan(docs)
     starts = F.transform("places", lambda p: p["start"])
     labels = F.transform("places", lambda p: p["label"])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        joined(labels).alias("base_labels"), joined(F.concat(labels, F.col("matched"))).alias("labels"), "score",
+        joined(labels).alias("base_labels"), joined(F.concat(labels, F.col("best"))).alias("labels"), "score",
     )

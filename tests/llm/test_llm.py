@@ -296,6 +296,18 @@ def test_licenses(docs, plain):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_licenses_that_wrap_or_share_a_line(spark):
+    """A notice cut by line breaks is found as if it stood in one line; a full match hides no other above the threshold."""
+    bsd, gpl = "Redistribution and use in source and binary forms, with or without{}modification, are permitted", "you can redistribute it and/or modify{}it under the terms of the GNU General Public License"
+    mit = dict((t.split()[0], t) for label, t in licenses.TEMPLATES if label == "mit")["permission"]
+    filler = " ".join(f"f{i}" for i in range(200))
+    texts = [bsd.format("\n"), f"{filler}\n\n * {gpl.format(chr(10) + ' * ')}\n{filler}", "\n".join(mit.split()) + "\n" + filler, mit + " licensed under the apache license version 2", f"redistribution and use in source\n{filler}\nand binary forms with or without modification are permitted", filler]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: set(r.matched) for r in licenses.scan(df).collect()} == {0: {"bsd"}, 1: {"gpl"}, 2: {"mit"}, 3: {"apache", "mit"}, 4: set(), 5: set()}
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.op9_licenses(df).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("gpl", 1.0), 2: ("mit", 1.0), 3: ("mit", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
+
+
 def test_empty_tables(empty, labels, spark, sf_dir):
     bench = table(spark, sf_dir, "benchmark")
     for out in (neardup.op1_near_duplicates(empty), lm.op2_lm(empty), secrets.op3_secrets(empty), decontaminate.op5_decontaminate(empty, bench), bpe.op6_bpe(empty), quality.op7_quality(empty, labels), toxicity.op10_toxicity(empty, labels), licenses.op9_licenses(empty), neardup.keep_one(empty), toxicity.reject(empty, labels)):
