@@ -8,8 +8,9 @@ their items are scored exactly.  An item is retrieved if a passage scores at lea
 the item itself would; nothing above the threshold is missed.  What is retrieved is verified: word
 n-grams of the item's question and of its answer must both be found in the text.
 
-The index is built on the driver from at most ``SHARD_ITEMS`` items at a time and broadcast; a larger
-benchmark is worked off in several such shards, chosen by a hash of the item id.
+The index holds sparse postings and block maxima.  It is built on the driver from about ``SHARD_WORDS``
+words of items at a time and broadcast; a larger benchmark is worked off in several such shards, chosen
+by a hash of the item id, with document frequencies that Spark counts over all of them.
 
 Defined cases: null and empty texts and those without words match nothing; items without words match
 nothing; several items may match a text.  A text's row that stands there twice gives its matches twice.
@@ -26,13 +27,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .words import PUNCTUATED, chunks, grams, word_hashes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 BLOCK_ITEMS = 8
 PASSAGE = 5
-SHARD_ITEMS = 20_000
+#: Words of the items of a shard, an item itself counting as a few; and postings looked at together.
+SHARD_WORDS, ITEM_WORDS = 1_000_000, 16
+MOST_POSTINGS = 1_000_000
 LEAST_STRIDE, MOST_STRIDE = 64, 4096
 GRAM = 4
 #: Shares of the question's and of the answer's n-grams that a text must hold.
@@ -46,8 +50,12 @@ class Index:
     item_ids: list
     terms: np.ndarray
     filter: np.ndarray
-    impacts: np.ndarray  # term x item
-    block_max: np.ndarray  # term x block
+    starts: np.ndarray  # postings of term t are those from starts[t] to starts[t + 1]
+    items: np.ndarray  # of postings
+    impacts: np.ndarray
+    block_starts: np.ndarray  # the same for blocks
+    blocks: np.ndarray
+    block_max: np.ndarray
     thresholds: np.ndarray  # of items
     block_thresholds: np.ndarray
     questions: list[np.ndarray]
@@ -70,30 +78,48 @@ def item_parts(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.unique(grams(h[:k], min(GRAM, k))) if k else h[:0], np.unique(grams(h[k:], min(GRAM, len(h) - k))) if len(h) > k else h[:0]
 
 
-def build(items: list[tuple[object, str | None]]) -> Index | None:
-    """The index of a shard's (id, text) pairs."""
+def build(items: list[tuple[object, str | None]], df: tuple[np.ndarray, np.ndarray] | None = None, n_items: int = 0, mean: float = 0.0) -> Index | None:
+    """The index of a shard's (id, text) pairs; df (sorted terms and counts), n_items and mean length are those of all shards, else of this one."""
     parts = [(i, *item_parts(t)) for i, t in items]
     parts = sorted((p for p in parts if len(p[1])), key=lambda p: len(p[1]))
     if not parts:
         return None
     lengths = np.array([len(p[1]) for p in parts], dtype=float)
-    terms = np.unique(np.concatenate([p[1] for p in parts]))
-    tf = np.zeros((len(terms), len(parts)), dtype=np.float32)
-    for j, p in enumerate(parts):
-        np.add.at(tf[:, j], np.searchsorted(terms, p[1]), 1)
-    df = (tf > 0).sum(axis=1)
-    idf = np.log1p((len(parts) - df + 0.5) / (df + 0.5))
-    impacts = (idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / lengths.mean()))).astype(np.float32)
-    thresholds = THRESHOLD * impacts.sum(axis=0) * (1 - 1e-5)
-    starts = np.arange(0, len(parts), BLOCK_ITEMS)
+    counted = [np.unique(p[1], return_counts=True) for p in parts]
+    term, tf = (np.concatenate([c[k] for c in counted]) for k in (0, 1))
+    item = np.repeat(np.arange(len(parts), dtype=np.int32), [len(c[0]) for c in counted])
+    order = np.argsort(term, kind="stable")
+    term, tf, item = term[order], tf[order], item[order]
+    terms, starts, own = np.unique(term, return_index=True, return_counts=True)
+    count = own if df is None else df[1][np.searchsorted(df[0], terms)]
+    n_items, mean = n_items or len(parts), mean or lengths.mean()
+    idf = np.log1p((n_items - count + 0.5) / (count + 0.5))
+    impacts = (np.repeat(idf, own) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))).astype(np.float32)
+    thresholds = THRESHOLD * np.bincount(item, impacts, len(parts)) * (1 - 1e-5)
+    block = item // BLOCK_ITEMS
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(block) != 0) | (term[1:] != term[:-1]))))
     bits = np.zeros(1 << 20, dtype=bool)
     bits[terms >> np.uint64(44)] = True
     return Index(
-        [p[0] for p in parts], terms, bits, impacts, np.maximum.reduceat(impacts, starts, axis=1), thresholds, np.minimum.reduceat(thresholds, starts),
+        [p[0] for p in parts], terms, bits, np.append(starts, len(term)), item, impacts,
+        np.append(np.searchsorted(first, starts), len(first)), block[first], np.maximum.reduceat(impacts, first), thresholds, np.minimum.reduceat(thresholds, np.arange(0, len(parts), BLOCK_ITEMS)),
         [p[2] for p in parts], [p[3] for p in parts], int(min(MOST_STRIDE, max(LEAST_STRIDE, lengths.max()))),
     )
 
 
+def sums(owner: np.ndarray, term: np.ndarray, starts: np.ndarray, targets: np.ndarray, values: np.ndarray, width: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys owner * width + target, and the sum of the values that each owner's terms have there; ``only`` (sorted) names the blocks wanted."""
+    n = starts[term + 1] - starts[term]
+    at = np.arange(n.sum()) + np.repeat(starts[term] - np.cumsum(n) + n, n)
+    key = np.repeat(owner, n)
+    if only is not None:
+        wide = key * -(-width // BLOCK_ITEMS) + targets[at] // BLOCK_ITEMS
+        kept = np.isin(wide, only)
+        at, key = at[kept], key[kept]
+    key, place = np.unique(key * width + targets[at], return_inverse=True)
+    return key, np.bincount(place, values[at], len(key))
+
+
 def retrieve(index: Index, h: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], float]:
     """(text, item) -> best passage score, for every passage that reaches the item's threshold."""
     hit = np.flatnonzero(index.filter[h >> np.uint64(44)])
@@ -116,28 +142,25 @@ def retrieve(index: Index, h: np.ndarray, offsets: np.ndarray) -> dict[tuple[int
     pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]  # a term counts once in a passage
     passage, term = pairs // len(index.terms), pairs % len(index.terms)
     cut = np.concatenate(([0], np.flatnonzero(np.diff(passage)) + 1, [len(passage)]))
-    bound = np.add.reduceat(index.block_max[term], cut[:-1], axis=0)
     text = np.searchsorted(base, passage[cut[:-1]], side="right") - 1
-    passages, blocks = np.nonzero(bound >= index.block_thresholds * (1 - 1e-5))
-    for p, close in zip(*_runs(passages, blocks), strict=True):
-        words = term[cut[p] : cut[p + 1]]
-        columns = (close[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)).ravel()
-        columns = columns[columns < len(index.item_ids)]
-        score = index.impacts[np.ix_(words, columns)].sum(axis=0)
-        for j, s in zip(columns[score >= index.thresholds[columns]], score[score >= index.thresholds[columns]], strict=True):
-            key = int(text[p]), int(j)
-            found[key] = max(found.get(key, 0.0), float(s))
+    own = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    load = np.cumsum(np.add.reduceat(index.starts[term + 1] - index.starts[term], cut[:-1]))
+    n_items, n_blocks = len(index.item_ids), len(index.block_thresholds)
+    for some in np.split(np.arange(len(load)), np.flatnonzero(np.diff(load // MOST_POSTINGS)) + 1):
+        part = slice(cut[some[0]], cut[some[-1] + 1])
+        close, bound = sums(own[part], term[part], index.block_starts, index.blocks, index.block_max, n_blocks)
+        close = close[bound >= index.block_thresholds[close % n_blocks] * (1 - 1e-5)]
+        if not len(close):
+            continue
+        here = np.isin(own[part], close // n_blocks)
+        key, score = sums(own[part][here], term[part][here], index.starts, index.items, index.impacts, n_items, close)
+        good = score >= index.thresholds[key % n_items]
+        for k, s in zip(key[good], score[good], strict=True):
+            at = int(text[k // n_items]), int(k % n_items)
+            found[at] = max(found.get(at, 0.0), float(s))
     return found
 
 
-def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct sorted keys and the values of each."""
-    if not len(keys):
-        return keys, []
-    cut = np.flatnonzero(np.diff(keys)) + 1
-    return keys[np.concatenate(([0], cut))], np.split(values, cut)
-
-
 def overlap(part: np.ndarray, text_grams: dict[int, np.ndarray], n: int) -> float:
     """Share of the part's n-grams that the text holds."""
     if not len(part):
@@ -176,13 +199,32 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     return docs
 
 
-def indexes(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
+def indexes(benchmark: DataFrame, item_col: str, item_text: str, shard_words: int = SHARD_WORDS) -> Iterator[Broadcast]:
     """The broadcast index of each shard of the items."""
-    shards = max(1, -(-benchmark.count() // SHARD_ITEMS))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [item_parts(t)[0] for t in pdf["t"]]
+            yield pd.DataFrame({"i": pdf["i"].tolist(), "t": pdf["t"].tolist(), "n": [len(h) for h in own], "terms": [np.unique(h).view(np.int64) for h in own]})
+
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
+    made = materialize(items.mapInPandas(words, f"i {items.schema['i'].dataType.simpleString()}, t string, n bigint, terms array<bigint>").where("n > 0"))
+    total = made.agg(F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    shards = max(1, -(-(total.words + ITEM_WORDS * total.items) // shard_words))
+    shard_of = F.pmod(F.xxhash64(F.col("i").cast("string"), "t"), F.lit(shards))
+    if shards > 1:
+        postings = made.select(shard_of.alias("shard"), F.explode("terms").alias("term"))
+        df = materialize(postings.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("shard").alias("in")))
     for shard in range(shards):
-        part = items.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(shards)) == shard) if shards > 1 else items
-        yield benchmark.sparkSession.sparkContext.broadcast(build([(r.i, r.t) for r in part.collect()]))
+        counts = None
+        if shards > 1:
+            found = df.where(F.array_contains("in", F.lit(shard).cast("bigint"))).select("term", "df").toPandas()
+            term = found["term"].to_numpy(dtype=np.int64).view(np.uint64)
+            order = np.argsort(term)
+            counts = term[order], found["df"].to_numpy()[order]
+        part = made.where(shard_of == shard).select("i", "t").collect()
+        yield spark.sparkContext.broadcast(build([(r.i, r.t) for r in part], counts, total.items, total.words / total.items if total.items else 0.0))
 
 
 def verified(index: Index | None, texts: pd.Series, least: float) -> Iterator[tuple[int, object, float, float, float]]:

@@ -198,6 +198,19 @@ def test_decontamination(docs, spark, sf_dir):
     assert kept.columns == docs.columns and kept.where("doc_id = 900010").isEmpty()
 
 
+def test_decontamination_index_is_sparse_and_sharded(spark):
+    """Memory follows the items' words, not terms x items; shards score as one index does."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(10)) + f" common word. The answer number {i} is a{i}" for i in range(4000)]
+    index = decontaminate.build(list(enumerate(texts)))
+    held = sum(v.nbytes for v in vars(index).values() if isinstance(v, np.ndarray))
+    assert held < 100 * 20 * len(texts)
+    bench = spark.createDataFrame(list(enumerate(texts[:300])), "item_id bigint, text string")
+    shards = [b.value for b in decontaminate.indexes(bench, "item_id", "text", shard_words=3000)]
+    whole = {i: t for i, t in zip(*(lambda x: (x.item_ids, x.thresholds))(decontaminate.build(list(enumerate(texts[:300])))), strict=True)}
+    got = {i: t for x in shards if x for i, t in zip(x.item_ids, x.thresholds, strict=True)}
+    assert len(shards) > 1 and got.keys() == whole.keys() and all(got[i] == pytest.approx(whole[i], rel=1e-5) for i in whole)
+
+
 def test_bpe_equals_the_library(docs, plain):
     from tokenizers import Tokenizer
 
