@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+#: Texts that are Python strings in a task at once.
+SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +47,29 @@ def id_remainder(col: Column, divisor: int) -> Column:
 
 def scaled_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def add_columns(rows: DataFrame, fields: str, start: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """rows without their last column, a text, and with ``fields`` instead, which ``start()(texts)`` returns as lists.
+
+    All other columns pass as Arrow, so that a null beside a large integer changes no value.
+    """
+    new = StructType.fromDDL(fields)
+    out = StructType([*rows.schema.fields[:-1], *new.fields])
+    kinds, names = [to_arrow_type(f.dataType) for f in new.fields], out.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                made = make(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names)
+
+    return rows.mapInArrow(run, out)
+
+
+def set_aside(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[Column]]:
+    """All columns of docs under names that clash with nothing, and the text once more as the last; and what brings them back."""
+    names = [f"_kept{i}" for i in range(len(docs.columns))]
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(f"`{text_col}`").alias("_text")), [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]

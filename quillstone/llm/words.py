@@ -1,19 +1,22 @@
 """Vectorised word hashing of whole texts, for use inside Spark tasks.
 
-A text is lower-cased (A-Z only) and cut at the bytes 0x20 and 0x09-0x0D.  Each word gets a 64-bit
-hash, computed for a batch of texts at once from prefix sums of a polynomial modulo 2**64 over random
-byte values, then mixed.
+A text is lower-cased (A-Z only) and cut at the bytes 0x20 and 0x09-0x0D.  Each word gets a 64-bit hash of
+its bytes, for a batch of texts at once: eight bytes at a time are mixed into a running value that starts
+from the word's length.  Words of up to eight bytes can't collide with others of their length; for longer
+ones every step goes through a full mixer, so no family of words is known to collide.  Words of more than
+``LONG_WORD`` bytes are hashed by BLAKE2b one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-_MULT = 0x9E3779B97F4A7C15 | 1
+_MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-_INV = pow(_MULT, -1, 1 << 64)
+LONG_WORD = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -21,8 +24,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Cuts at every ASCII character that is no letter or digit; other characters belong to words.
 PUNCTUATED = np.ones(256, dtype=bool)
 PUNCTUATED[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
-_powers: dict[int, np.ndarray] = {}
+_KEEP = (np.uint64(_MASK) >> (np.uint64(8) * np.arange(7, -1, -1, dtype=np.uint64))).astype(np.uint64)  # the first 1 to 8 bytes
 
 CHUNK_BYTES = 1 << 20
 
@@ -36,19 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the usual size, made anew for longer texts."""
-    have = _powers.get(base)
-    if have is not None and len(have) >= n:
-        return have[:n]
-    out = np.ones(max(n, 1), dtype=np.uint64)
-    out[1:] = np.uint64(base & _MASK)
-    out = np.multiply.accumulate(out)
-    if n <= CHUNK_BYTES + 65536:
-        _powers[base] = out
-    return out[:n]
-
-
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     """Consecutive UTF-8 texts in lists of about ``limit`` bytes (null: empty); a longer text stands alone."""
     out: list[bytes] = []
@@ -68,16 +57,24 @@ def word_hashes(docs: list[bytes], gaps: np.ndarray = _SPACE) -> tuple[np.ndarra
     """(hash of every word, offsets: words of text i are hashes[offsets[i]:offsets[i+1]])."""
     lens = np.fromiter((len(d) + 1 for d in docs), dtype=np.int64, count=len(docs))
     ends = np.cumsum(lens)
-    buf = np.frombuffer(b" ".join(docs) + b" ", dtype=np.uint8)
-    n = len(buf)
-    word = ~gaps[buf]
+    joined = np.frombuffer(b" ".join(docs) + b" " * 8, dtype=np.uint8)
+    word = ~gaps[joined[:-7]]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word)).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[buf] * powers(_MULT, n), out=prefix[1:])
-    h = (prefix[stops] - prefix[starts]) * powers(_INV, n)[starts]
-    h = mix(h + (stops - starts).astype(np.uint64))
     offsets = np.concatenate(([0], np.searchsorted(starts, ends)))
+    buf = _LOWER[joined]
+    lanes = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+    left = stops - starts
+    h = left.astype(np.uint64) * np.uint64(_MULT)
+    long = np.flatnonzero(left > LONG_WORD)
+    now = np.flatnonzero(left <= LONG_WORD) if len(long) else np.arange(len(left))
+    at, left = starts[now], left[now]
+    while len(now):
+        h[now] = mix(h[now] ^ (lanes[at] & _KEEP[np.minimum(left, 8) - 1]))
+        more = left > 8
+        now, at, left = now[more], at[more] + 8, left[more] - 8
+    for i in long:
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : stops[i]].tobytes(), digest_size=8).digest(), "little")
     return h, offsets
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import ann, bpe, decontaminate, licenses, lm, neardup, quality, secrets, toxicity, urls
 from quillstone.llm.common import table
+from quillstone.llm.words import word_hashes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, rep string, block string, _text string"
 SECRET = "AKIA" + "ABCDEFGH12345678"
@@ -111,26 +112,98 @@ def test_near_duplicates_of_edited_copies(spark):
     assert [got[i] for i in range(len(texts))] == low
 
 
+def backoff_chance(counts, n_tokens, n_words, history, word):
+    """p(word | history) straight from the definition."""
+    if not history:
+        return (counts[(word,)] + 1) / (n_tokens + n_words + 1)
+    lower = backoff_chance(counts, n_tokens, n_words, history[1:], word)
+    seen = counts[history]
+    return (counts[(*history, word)] + lm.STRENGTH * lower) / (seen + lm.STRENGTH) if seen else lower
+
+
 def test_language_model(docs, plain):
     tokens = [(i, [*words(t), "\0end"]) for i, t in plain]
-    one, two, hist = Counter(), Counter(), Counter()
+    counts = Counter()
     for i, w in tokens:
         if folds(i, 7) != 2:
-            one.update(w)
-            two.update(zip(w, w[1:], strict=False))
-    hist = one
-    n, v = sum(one.values()), len(one)
+            for n in range(1, lm.ORDER + 1):
+                counts.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
     want = []
     for i, w in tokens:
-        p1 = [(one[x] + 1) / (n + v + 1) for x in w]
-        p = [p1[0]] + [(two[a, b] + lm.STRENGTH * q) / (hist[a] + lm.STRENGTH) if hist[a] else q for a, b, q in zip(w, w[1:], p1[1:], strict=False)]
-        want.append((-1 if i is None else i, folds(i, 7) == 2, len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, [(one[x] + 1) / (n * 1 + v + 1) for x in w])), sum(map(math.log10, p))))
+        p = [backoff_chance(counts, n, v, tuple(w[max(0, k - lm.ORDER + 1) : k]), x) for k, x in enumerate(w)]
+        want.append((-1 if i is None else i, folds(i, 7) == 2, len(w), sum(counts[(x,)] > 0 for x in w), n, sum(math.log10((counts[(x,)] + 1) / (n * 1 + v + 1)) for x in w), sum(map(math.log10, p))))
+    assert lm.ORDER >= 3
     got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.op2_lm(docs).collect()]
     for g, w in zip(sorted(got), sorted(want), strict=True):
         assert g[:5] == w[:5]
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+def test_language_model_automaton_state_by_state():
+    """After each word the state is the longest seen history that ends there; what a step weighs is arcs and failure arcs."""
+    texts, trained = ["a b c a b d", "b c a", "a b c x a b"], [1, 1, 0]
+    h, offsets = lm.tokens_of(texts)
+    grams = lm.levels(h, offsets, np.repeat(trained, np.diff(offsets)), 3, {})
+    tokens = [[*t.split(), "\0end"] for t in texts]
+    counts = Counter(tuple(w[k : k + n]) for w, on in zip(tokens, trained, strict=True) if on for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    machine = lm.Automaton(grams, v, n, lm.STRENGTH)
+    names = {0: ()}
+    base = 1
+    for level in grams[:2]:
+        for at, index in enumerate(level.index):
+            if index >= 0:
+                text = int(np.searchsorted(offsets, at, side="right")) - 1
+                names[base + index] = tuple(tokens[text][at - offsets[text] - level.n + 1 : at - offsets[text] + 1])
+        base += len(level.keys)
+    for text, w in enumerate(tokens):
+        state = np.zeros(1, dtype=np.int64)
+        for k, word in enumerate(w):
+            state, weight = machine.step(state.copy(), grams[0].index[[offsets[text] + k]])
+            longest = next(g for m in (2, 1, 0) if m <= k + 1 and (not (g := tuple(w[k + 1 - m : k + 1])) or counts[g]))
+            assert names[int(state[0])] == longest
+            assert weight[0] == pytest.approx(math.log10(backoff_chance(counts, n, v, tuple(w[max(0, k - 2) : k]), word)))
+    # A long text in segments walks as it does in one piece.
+    long = " ".join("abcdef"[x] for x in np.random.default_rng(1).integers(0, 6, 3 * lm.SEGMENT))
+    h, offsets = lm.tokens_of([long])
+    grams = lm.levels(h, offsets, np.ones(len(h), dtype=np.int64), 3, {})
+    machine = lm.Automaton(grams, 7, len(h), lm.STRENGTH)
+    state, one = np.zeros(1, dtype=np.int64), []
+    for word in grams[0].index:
+        state, weight = machine.step(state.copy(), np.array([word]))
+        one.append(weight[0])
+    assert machine.walk(grams[0].index, offsets, 3) == pytest.approx(np.array(one))
+
+
+def test_language_model_exchange_is_exact():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
+    assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all() and len(lm.unpack_keys(lm.pack_keys(keys[:0]))) == 0
+    assert (lm.unpack(lm.pack(np.array([0, 1, 255, 256, 1 << 40]))) == [0, 1, 255, 256, 1 << 40]).all()
+
+
+def thue_morse(length):
+    one, two = "a", "b"
+    while len(one) < length:
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_words_of_one_hash_family_differ(spark):
+    """Thue-Morse words, which collide under polynomials modulo a power of two, are told apart everywhere."""
+    for length in (64, 1024, 4096):
+        one, two = thue_morse(length)
+        h, _ = word_hashes([one.encode(), two.encode(), one.upper().encode()])
+        assert h[0] != h[1] and h[0] == h[2]
+    one, two = thue_morse(1024)
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")
+    assert {r.component_id for r in neardup.op1_near_duplicates(df).collect()} == {1, 2}
+    assert {r.n_known for r in lm.score(df, F.col("doc_id") == 1).collect()} == {1, 2}
+    item = spark.createDataFrame([(1, f"{one} x1 x2 x3 x4. x5 x6 x7 x8")], "item_id bigint, text string")
+    texts = spark.createDataFrame([(1, f"{one} x1 x2 x3 x4. x5 x6 x7 x8"), (2, f"{two} y1 y2 y3 y4 y5")], "doc_id bigint, text string")
+    assert [r.doc_id for r in decontaminate.op5_decontaminate(texts, item).collect()] == [1]
+
+
 def test_secrets(docs, plain):
     def base(t):
         t, out = t or "", []
