@@ -168,12 +168,16 @@ class Automaton:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers byte plane by byte plane, so that planes of zeros shrink to nothing in the shuffle."""
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Integers byte plane by byte plane, compressed: most are small."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
