@@ -10,7 +10,8 @@ case; no decoder: decoding joins the tokens with blanks).  The vocabulary is rea
 broadcast; its size is that of the file.
 
 Defined cases: a null text counts as empty, an empty text has no ids and decodes to the empty string.
-Special tokens in a text become their ids.  Repeated rows and rows with null ids give a row each.
+Special tokens in a text become their ids.  Repeated rows and rows with null ids give a row each, an empty table
+none.  Very long texts and words are encoded whole.  Other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import add_columns
+
 LONG_WORD = 64
 CACHE_WORDS = 100_000
 #: Rows that leave a task at once.
@@ -225,14 +227,11 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
     """id and the text of packed ids: tokens joined with blanks; ids outside the vocabulary are left out."""
     vocab = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         encoder = Encoder(vocab.value)
-        for pdf in batches:
-            texts = [encoder.decode(b if isinstance(b, bytes) else None) for b in pdf["_ids"]]
-            yield pd.DataFrame({id_col: pdf[id_col], "decoded": texts})
+        return lambda ids: [list(map(encoder.decode, ids))]
 
-    rows = encoded.select(F.col(id_col), F.col(ids_col).alias("_ids"))
-    return rows.mapInPandas(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, decoded string")
+    return add_columns(encoded.select(F.col(id_col), F.col(ids_col).alias("_ids")), "decoded string", start)
 
 
 def default_path() -> str:

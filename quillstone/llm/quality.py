@@ -6,25 +6,26 @@ total sizes divided by their sum is the feature; a logistic curve fitted on labe
 a probability.  Whole texts are scored; only the fit uses a bounded sample of labelled rows.
 
 Defined cases: a null text counts as empty; an empty text gets the feature 0 and so the curve's value
-there; null labels are ignored; without both classes among the labels every score is the smoothed share
-of good labels.  A row with a null id is scored as any other.  Repeated rows give repeated results.
+there; null labels are ignored, and of labels that contradict each other for one id the majority counts, at a tie
+none; without both classes among the labels every score is the smoothed share of
+good labels, on an empty table there is none.  A row with a null id is scored as any other.  Repeated rows give
+repeated results.  Very long texts are scored whole; labelled texts of more than ``SAMPLE_CHARS`` characters stay
+out of the fit.  Other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import add_columns, id_remainder
 
 BLOCK_BYTES = 4096
-#: Bounds of the labelled sample: rows of each class, and characters of a row that may enter it.
+#: Bounds of the labelled sample: rows of each class, and characters of a row that may enter it; longer labelled texts are only scored.
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 20_000
 DICT_BYTES = 64 * 1024
@@ -78,7 +79,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
 
     The ids are chosen among the labels alone; 2 * ``rows`` ids are what the join broadcasts, so no text is shuffled.
     """
-    marks = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)").dropDuplicates(["key"])
+    votes = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)").groupBy("key").agg(F.avg("label").alias("share"))
+    marks = votes.where("share <> 0.5").select("key", F.round("share").cast("int").alias("label"))
     chosen = [marks.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(rows) for v in (0, 1)]
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text").between(1, chars))
     return texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "key")
@@ -118,14 +120,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: s
 def score(docs: DataFrame, model: CompressionModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, feature and score in [0, 1] of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         sizer = _Sizer(model.good, model.bad) if model.good else None
-        for pdf in batches:
-            x = np.array([sizer.feature(t) if sizer else 0.0 for t in pdf["text"]], dtype=float)
-            yield pd.DataFrame({id_col: pdf["key"], "feature": x, "score": 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -700, 700)))})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {kind}, feature double, score double")
+        def make(texts: list[str | None]) -> list:
+            x = np.array([sizer.feature(t) if sizer else 0.0 for t in texts], dtype=float)
+            return [x, 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -700, 700)))]
+
+        return make
+
+    return add_columns(docs.select(F.col(id_col), F.col(text_col).alias("_text")), "feature double, score double", start)
 
 
 def op7_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

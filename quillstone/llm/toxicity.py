@@ -9,26 +9,27 @@
 
 Defined cases: a null text counts as empty; texts without words get the smoothed share of toxic labels as
 their score; null labels are ignored; without both classes among the labels every score is the smoothed share of toxic labels.
-Rows with null ids are scored as any other, repeated rows give repeated results.
+Rows with null ids are scored as any other, repeated rows give repeated results, an empty table none.  Very
+long texts are scored whole.  ``score`` reads no other column of docs; ``reject`` keeps all of them, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, materialize
+from .common import add_columns, id_remainder, materialize, set_aside
 from .quality import class_sizes, labelled_sample
 
-#: Bounds of the fit: labelled rows of each class, characters of such a row, and terms in the learned lexicon.
+#: Bounds of the fit: labelled rows of each class, characters of such a row (longer ones are only scored), and terms in the learned lexicon.
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 50_000
 LEXICON_SIZE = 400
@@ -104,16 +105,8 @@ def features(docs: DataFrame, lexicon: dict[str, float], *, id_col: str = "doc_i
             caps / len(text), shouted / n, marks / len(text), symbols / len(text), len(_OBFUSCATED.findall(low)) / n, float(len(toks)),
         ]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf.drop(columns="_text")
-            out["features"] = [one(t) for t in pdf["_text"]]
-            yield out
-
-    named = [F.col(id_col), *map(F.col, keep), F.col(text_col).alias("_text")]
-    rows = docs.select(*named)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInPandas(run, ", ".join([*kinds, "features array<double>"]))
+    rows = docs.select(F.col(id_col), *map(F.col, keep), F.col(text_col).alias("_text"))
+    return add_columns(rows, "features array<double>", lambda: lambda texts: [[one(t) for t in texts]])
 
 
 def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", trees: int = 20, depth: int = 3) -> DataFrame:
@@ -123,10 +116,9 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
 
 def reject(docs: DataFrame, labels: DataFrame, *, most: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score stays below ``most``."""
-    names = {c: f"_kept{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
-    scored = fitted(docs, labels, id_col=id_col, text_col=text_col)(renamed, names[id_col], names[text_col], tuple(n for c, n in names.items() if c != id_col))
-    return scored.where(F.col("score") < most).select(*[F.col(n).alias(c) for c, n in names.items()])
+    aside, back = set_aside(docs, text_col)
+    scored = fitted(docs, labels, id_col=id_col, text_col=text_col)(aside, "_kept0", "_text", tuple(aside.columns[1:-1]))
+    return scored.where(F.col("score") < most).select(*back)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", trees: int = 20, depth: int = 3) -> Callable[..., DataFrame]:
@@ -145,7 +137,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col:
     held = {r.label: r.n for r in sample.where("fold = 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
     model = GBTClassifier(featuresCol="vector", labelCol="label", predictionCol="guess", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11, minInstancesPerNode=2).fit(vectors.where("fold <> 0").coalesce(2))
     raw = lambda df: model.transform(df).withColumn("raw", vector_to_array("probability")[1])
-  
+
     calibration = raw(vectors.where("fold = 0")).select(F.col("label").cast("double").alias("label"), "raw", F.when(F.col("label") == 1, n1 / held[1]).otherwise(n0 / held[0]).alias("weight"))
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score", weightCol="weight").fit(calibration)
 
