@@ -15,20 +15,20 @@
    So no link between candidates is lost, yet a group of copies costs its size and not the square.
 
 Defined cases: null and empty texts and those without words have an empty set and are alone.  Rows with
-the same id and text give one row each, with the same component.  Rows with a null id take part in no
-link and are their own component (null).
+the same id and text give one row each, with the same component; rows of one id whose texts differ are texts of
+their own, each with its own set and links.  Rows with a null id take part in no link and are their own component
+(null).  Very long texts have whole sets; an empty table gives an empty table.  ``near_duplicates`` reads no other
+column of docs, ``keep_one`` keeps all of them, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import add_columns, materialize, set_aside
 from .words import chunks, mix, shingle_sets
 
 BINS, ROWS = 128, 5
@@ -65,42 +65,49 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """id, n_shingles, two words of a hash of the whole set, band keys and one byte of each bin's smallest hash."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n, one, two, bands, sketch = [], [], [], [], []
-            for part in chunks(pdf["_text"]):
-                for s in shingle_sets(part, shingle):
-                    n.append(len(s))
-                    if not len(s):
-                        one.append(0), two.append(0), bands.append(None), sketch.append(None)
-                        continue
-                    sig = signature(s)
-                    one.append(int(np.bitwise_xor.reduce(mix(s)).astype(np.int64)))
-                    two.append(int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)))
-                    keys = band_keys(sig)
-                    if len(s) <= PREFIX_MOST:
-                        keys = np.concatenate((keys, mix(s[: len(s) - -(-percent * len(s) // 100) + 1]).view(np.int64)))
-                    bands.append(keys)
-                    sketch.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"id": pdf["id"], "n_shingles": n, "set_one": one, "set_two": two, "bands": bands, "sketch": sketch})
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """Two independent words over a whole set; 0 and 0 of the empty one."""
+    return int(np.bitwise_xor.reduce(mix(s)).astype(np.int64)), int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64))
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"id {rows.schema[0].dataType.simpleString()}, n_shingles bigint, set_one bigint, set_two bigint, bands array<bigint>, sketch binary")
+
+def mark_of(text_col: str) -> Column:
+    return F.xxhash64(text_col)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """id, mark (a hash of the text), n_shingles, two words of a hash of the whole set, band keys and one byte of each bin's smallest hash."""
+
+    def make(texts: list[str | None]) -> list[list]:
+        n, one, two, bands, sketch = [], [], [], [], []
+        for part in chunks(texts):
+            for s in shingle_sets(part, shingle):
+                n.append(len(s))
+                for known, value in zip((one, two), set_hash(s), strict=True):
+                    known.append(value)
+                if not len(s):
+                    bands.append(None), sketch.append(None)
+                    continue
+                sig = signature(s)
+                keys = band_keys(sig)
+                if len(s) <= PREFIX_MOST:
+                    keys = np.concatenate((keys, mix(s[: len(s) - -(-percent * len(s) // 100) + 1]).view(np.int64)))
+                bands.append(keys)
+                sketch.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
+        return [n, one, two, bands, sketch]
+
+    rows = docs.select(F.col(id_col).alias("id"), mark_of(text_col).alias("mark"), F.col(text_col).alias("_text"))
+    return add_columns(rows, "n_shingles bigint, set_one bigint, set_two bigint, bands array<bigint>, sketch binary", lambda: make)
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id and the whole sorted shingle set."""
+    """id, the two words of the hash of the set, and the whole sorted shingle set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [s.view(np.int64) for part in chunks(pdf["_text"]) for s in shingle_sets(part, shingle)]
-            yield pd.DataFrame({"id": pdf["id"], "members": found})
+    def make(texts: list[str | None]) -> list[list]:
+        found = [s for part in chunks(texts) for s in shingle_sets(part, shingle)]
+        return [*zip(*map(set_hash, found), strict=True), [s.view(np.int64) for s in found]] if found else [[], [], []]
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"id {rows.schema[0].dataType.simpleString()}, members array<bigint>")
+    return add_columns(rows, "set_one bigint, set_two bigint, members array<bigint>", lambda: make)
 
 
 def _share(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -133,27 +140,32 @@ def components(edges: DataFrame, node: str = "rep") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 85) -> DataFrame:
-    """id, n_shingles, component (smallest id linked, directly or not) and n_links (confirmed links of the class).
+    """id, mark, n_shingles, set_one, set_two, component_id (the smallest id that is linked, directly or not) and leads (whether the row's set stands for its component).
 
     Two texts are linked if 100 * |A and B| >= percent * |A or B| for their shingle sets.
     """
     made = materialize(signatures(docs, id_col, text_col, shingle, percent))
     some = made.where("id is not null and n_shingles > 0")
-    classes = materialize(some.groupBy("set_one", "set_two", "n_shingles").agg(F.min("id").alias("rep")))
-    reps = some.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = materialize(reps.select(F.col("id").alias("rep"), "n_shingles", "bands", "sketch"))
+    # A class is known by its smallest id and its set's hash: one id may have several texts.
+    of_class = lambda i: F.struct(F.col(i).alias("id"), "set_one", "set_two")
+    classes = materialize(some.groupBy("set_one", "set_two", "n_shingles").agg(F.min("id").alias("least")).select("set_one", "set_two", "n_shingles", of_class("least").alias("rep")))
+    reps = some.join(classes.select("rep.id", "set_one", "set_two"), ["id", "set_one", "set_two"], "left_semi").dropDuplicates(["id", "set_one", "set_two"])
+    reps = materialize(reps.select(of_class("id").alias("rep"), "n_shingles", "bands", "sketch"))
 
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = materialize(buckets.join(shared, "key"))
-    members = met.select(F.col("rep").alias(id_col)).distinct()
-    texts = docs.select(id_col, text_col).join(members, id_col, "left_semi").dropDuplicates([id_col])
-    full = materialize(sets(texts, id_col, text_col, shingle).withColumnRenamed("id", "rep"))
+    members = met.select("rep").distinct()
+    # One text of each class: some text of the class's smallest id has its set.
+    chosen = made.select("id", "mark", of_class("id").alias("rep")).join(members, "rep", "left_semi").groupBy("rep").agg(F.min("mark").alias("mark")).select(F.col("rep.id").alias("_id"), "mark")
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), mark_of(text_col).alias("mark"))
+    texts = marked.join(chosen, ["_id", "mark"], "left_semi").dropDuplicates(["_id", "mark"])
+    full = materialize(sets(texts, "_id", "_text", shingle).select(of_class("id").alias("rep"), "members"))
 
     # Shingles that no other text in any bucket has can't be in an intersection: the rest bounds every similarity.
     lone = full.select("rep", F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
     lone = lone.groupBy("rep").agg(F.count("*").alias("lone"))
-    known = materialize(reps.join(members.withColumnRenamed(id_col, "rep"), "rep").join(lone, "rep", "left").select("rep", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common")))
+    known = materialize(reps.join(members, "rep").join(lone, "rep", "left").select("rep", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common")))
 
     def reaches(most: Column, n_a: Column, n_b: Column) -> Column:
         return most * (100 + percent) >= (n_a + n_b) * percent
@@ -204,20 +216,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         edges = edges.unionByName(more)
         labels = components(edges)
 
-    ends = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    reached = classes.join(labels, "rep", "left").join(ends, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("links", F.coalesce("links", F.lit(0)))
-    out = made.select("id", "n_shingles", "set_one", "set_two").join(reached, ["set_one", "set_two", "n_shingles"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    reached = classes.join(labels, "rep", "left").select("set_one", "set_two", "n_shingles", "rep", F.coalesce("component", "rep").alias("component"))
+    out = made.select("id", "mark", "n_shingles", "set_one", "set_two").join(reached, ["set_one", "set_two", "n_shingles"], "left")
+    component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component.id")), F.col("id"))
+    leads = F.coalesce((F.col("rep") == F.col("component")) & (F.col("id") == F.col("rep.id")), F.col("rep").isNull())
+    return out.select(F.col("id").alias(id_col), "mark", "n_shingles", "set_one", "set_two", component.alias("component_id"), leads.alias("leads"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, one for each component and id; rows with a null id all stay."""
-    dropped = near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col(id_col) != F.col("component_id")).select(id_col)
-    named = docs.where(F.col(id_col).isNotNull()).join(dropped, id_col, "left_anti").dropDuplicates([id_col])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of docs, with all their columns, one for each component; rows with a null id all stay, and so does one row of each text without words."""
+    aside, back = set_aside(docs, text_col)
+    own = f"_kept{docs.columns.index(id_col)}"
+    found = near_duplicates(aside, id_col=own, text_col="_text", percent=percent).where(F.col(own).isNotNull())
+    # Texts of one id that aren't linked lead a component each; equal sets are one text.
+    text = F.when(F.col("n_shingles") == 0, F.col("mark"))
+    stays = found.where("leads").groupBy(own, "n_shingles", "set_one", "set_two", text.alias("empty")).agg(F.min("mark").alias("_mark"))
+    goes = found.select(own, F.col("mark").alias("_mark")).join(stays.select(own, "_mark"), [own, "_mark"], "left_anti").distinct()
+    named = aside.where(F.col(own).isNotNull()).withColumn("_mark", mark_of("_text"))
+    named = named.join(goes, [own, "_mark"], "left_anti").dropDuplicates([own, "_mark"])
+    return named.select(*back).unionByName(aside.where(F.col(own).isNull()).select(*back))
 
 
 def op1_near_duplicates(docs: DataFrame) -> DataFrame:
     """The contract's columns; kept marks the smallest id of each component."""
     found = near_duplicates(docs)
-    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_links")
+    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
