@@ -5,14 +5,20 @@ the labels from which the rest is judged, unless labelled verdicts are given.  P
 tree, worked off to its longest path: number-like segments become wildcards (``*``), sibling branches
 whose shares of blocked pages the Hoeffding bound can't tell from their parent's are merged into one
 (``?``), and branches without any label are merged into another (``#``) below nodes with many children.
-So labelled and unlabelled siblings never share evidence, however many there are.  A template is
-rejected when its smoothed labelled purity reaches ``REJECT``; without evidence it is allowed.
+So labelled and unlabelled siblings are never pooled, however many there are.
+
+A template is rejected when its smoothed labelled purity reaches ``REJECT``.  A node's purity is its share of
+blocked pages, smoothed by ``PRIOR`` pages of what its parent passes on; a parent passes on its own share,
+smoothed by ``BACKOFF`` pages of what it was passed, the host starting from 0.5.  So a branch without labels is
+judged by its parent template and its host, if these have evidence enough; else it is allowed.
 
 The tree is built from counts of distinct (host, path) pairs, never from the pages of one host in one
 task.
 
 Defined cases: a null url, or one without "://", has empty host and path and falls under no rule; it is
-allowed.  Repeated rows give repeated results; rows with a null id are judged too.
+allowed.  Repeated rows give repeated results; rows with a null id are judged too; an empty table gives an
+empty table.  Very long urls are read whole, deep paths to their end.  Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -24,13 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Below a node with more children unlabelled ones are one template; their evidence is the same either way.
 MAX_CHILDREN = 64
 #: Marks of merged branches; no segment holds these characters.
 SIMILAR, UNKNOWN = "?", "#"
 MIN_LABELLED = 5
 ALPHA = 0.05
-#: Weight of the neutral prior of 0.5 and the purity from which a template is rejected.
-PRIOR = 2.0
+#: Pages that what the parent passes on counts as, for a node's own purity and for what it passes on itself; and
+#: the purity from which a template is rejected.
+PRIOR, BACKOFF = 2.0, 10.0
 REJECT = 0.8
 
 # The rules of the query.
@@ -65,7 +73,10 @@ def segments_of(path: Column) -> Column:
 def template_tree(labelled: DataFrame) -> DataFrame:
     """(host, segments) -> template, n_labelled and purity, from (host, segments, blocked: 1, 0 or null) rows."""
     paths = labelled.groupBy("host", "segments").agg(F.count("blocked").alias("seen"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
-    at = materialize(paths.withColumn("template", F.array().cast("array<string>")))
+    hosts = paths.groupBy("host").agg(F.sum("seen").alias("h_seen"), F.sum("bad").alias("h_bad"))
+    passed = lambda bad, seen, weight, given: (bad + F.lit(weight) * given) / (seen + F.lit(weight))
+    root = passed(F.col("h_bad"), F.col("h_seen"), BACKOFF, F.lit(0.5))
+    at = materialize(paths.join(hosts, "host").select("host", "segments", "seen", "bad", F.array().cast("array<string>").alias("template"), root.alias("given")))
     bound = F.sqrt(F.lit(0.5) * F.log(F.lit(2 / ALPHA)))
     ended: list[DataFrame] = []
     depth = 0
@@ -81,17 +92,20 @@ def template_tree(labelled: DataFrame) -> DataFrame:
         step = child.join(parent, ["host", "template"]).select("host", "template", "segment", to.alias("to"), (F.col("p_paths") == 1).alias("alone"))
         left, right = at.alias("l"), step.alias("r")
         on = (F.col("l.host") == F.col("r.host")) & (F.col("l.template") == F.col("r.template")) & F.col("l.segment").eqNullSafe(F.col("r.segment"))
-        moved = left.join(right, on).select("l.host", "l.segments", "l.seen", "l.bad", F.col("l.template").alias("was"), F.col("r.to").alias("to"), "r.alone")
+        moved = left.join(right, on).select("l.host", "l.segments", "l.seen", "l.bad", "l.given", F.col("l.template").alias("was"), F.col("r.to").alias("to"), "r.alone")
         # A path that ends here, or goes on alone and so meets no sibling any more, is done.
         rest = F.slice("segments", depth, F.greatest(F.size("segments") - (depth - 1), F.lit(0)))
         template = F.when(F.col("to").isNull(), F.col("was")).when(F.col("alone"), F.concat("was", rest)).otherwise(F.concat("was", F.array("to")))
         done = F.col("to").isNull() | F.col("alone")
-        moved = materialize(moved.select("host", "segments", "seen", "bad", template.alias("template"), done.alias("done")))
+        moved = materialize(moved.select("host", "segments", "seen", "bad", "given", template.alias("template"), done.alias("done")))
         ended.append(moved.where("done").drop("done"))
         at = moved.where(~F.col("done")).drop("done")
+        # What the node reached passes on to those below it.
+        nodes = at.groupBy("host", "template").agg(F.sum("seen").alias("n_seen"), F.sum("bad").alias("n_bad"))
+        at = materialize(at.join(nodes, ["host", "template"]).select("host", "segments", "seen", "bad", "template", passed(F.col("n_bad"), F.col("n_seen"), BACKOFF, F.col("given")).alias("given")))
     at = reduce(DataFrame.unionByName, ended, at)
-    totals = at.groupBy("host", "template").agg(F.sum("seen").alias("n_labelled"), F.sum("bad").alias("n_bad"))
-    purity = (F.col("n_bad") + PRIOR / 2) / (F.col("n_labelled") + PRIOR)
+    totals = at.groupBy("host", "template").agg(F.sum("seen").alias("n_labelled"), F.sum("bad").alias("n_bad"), F.min("given").alias("given"))
+    purity = passed(F.col("n_bad"), F.col("n_labelled"), PRIOR, F.col("given"))
     return at.select("host", "segments", "template").join(totals.withColumn("purity", purity), ["host", "template"]).select("host", "segments", F.array_join("template", "/").alias("template"), "n_labelled", "purity")
 
 
