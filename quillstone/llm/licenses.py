@@ -1,18 +1,18 @@
 """License scans as an exact set-similarity join (operator 9), in DataFrame functions only.
 
-Text blocks are the lines of a text and, where a text has several lines, every window of consecutive
-words as long as a template may be with ``1 - CONTAINMENT`` of other words in between, so that notices
-which wrap are found; templates are a small fixed list.  A block matches every template of whose
-distinct words it holds at least ``CONTAINMENT``.  Words are put in the order of their
-document frequency in the corpus, rarest first.  A template of m words of which t are needed has its
-first m - t + 1 words as prefix: any matching block holds one of them (prefix filter), has t distinct
-words (length filter), and the words that follow the first common one suffice for t (positional
-filter).  Windows are looked at around the prefix words alone.  What passes is verified on the whole sets, so nothing is lost.
+Text blocks are windows of consecutive words over whole texts, line breaks or not, as long as a template may be
+with ``1 - CONTAINMENT`` of other words in between; templates are a small fixed list of sentences and headers.  A
+block matches every template of whose distinct words it holds at least ``CONTAINMENT``.  Words are put in the
+order of their document frequency in the corpus, rarest first.  A template of m words of which t are needed has
+its first m - t + 1 words as prefix: any matching block holds one of them (prefix filter; windows are looked at
+around these words alone), has t distinct words (length filter), and t words of the template from the first common
+one on (positional filter).  What passes is verified on the whole sets of all its windows, so nothing is lost.
 
 Beside this, three base phrases are located by word.
 
-Defined cases: null and empty texts have no words, no places and no labels; a line may be a whole long
-text.  Rows with the same id and text share their (equal) result; rows with a null id are scanned too.
+Defined cases: null and empty texts have no words, no places and no labels; very long texts and lines are scanned
+whole.  Rows with the same id and text share their (equal) result; rows with a null id are scanned too; an empty
+table gives an empty table.  Of docs only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -32,16 +32,21 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("reserved", "all rights reserved no part may be reproduced without permission"),
 ]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -74,42 +79,38 @@ def may_hold(text: Column, words: list[str]) -> Column:
     return text.rlike(rf"(?:\A|{gap})(?i:{'|'.join(words)})(?:\z|{gap})")
 
 
+def width_of(template: str, containment: float = CONTAINMENT) -> int:
+    """Words of a template's window."""
+    return math.ceil(len(template.split()) / containment)
+
+
 def template_matches(docs: DataFrame, *, key: list[str], order: list[str], text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """key columns, block (line number; null for windows of words), label and containment of every template that a block matches; best marks the largest of a line, or of the windows around a word."""
+    """key columns, template number, label and containment of the best windows of every template that a text's windows match."""
     spark = docs.sparkSession
     place = {w: i for i, w in enumerate(order)}
-    rows, prefixes = [], set()
+    rows = []
     for number, (label, text) in enumerate(templates):
         ordered = sorted(set(text.split()), key=place.__getitem__)
         need = math.ceil(containment * len(ordered) - 1e-9)
-        for at, word in enumerate(ordered[: len(ordered) - need + 1]):
-            rows.append((word, number, label, ordered, at, need, math.ceil(len(text.split()) / containment)))
-            prefixes.add(word)
+        rows += [(word, number, label, ordered, at, need, width_of(text, containment)) for at, word in enumerate(ordered[: len(ordered) - need + 1])]
     index = spark.createDataFrame(rows, "word string, template int, label string, template_words array<string>, at int, need int, width int")
     widest = max((r[-1] for r in rows), default=1)
-    first = literal_words(sorted(prefixes))
-    held = docs.select(*key, F.col(text_col).alias("_text")).where(may_hold(F.col("_text"), sorted(prefixes)))
-    lines = held.select(*key, F.posexplode(F.split("_text", "\n")).alias("block", "line")).where(may_hold(F.col("line"), sorted(prefixes)))
-    blocks = lines.select(*key, "block", F.array_distinct(words_of(F.col("line"))).alias("block_words"))
-    probes = blocks.withColumn("word", F.explode(F.array_intersect("block_words", first)))
-    # The index has as many rows as the templates have prefix words.
-    met = probes.join(F.broadcast(index), "word").where((F.size("block_words") >= F.col("need")) & (F.size("template_words") - F.col("at") >= F.col("need")))
-    common = F.array_intersect("template_words", "block_words")
-    verified = met.withColumn("common", common).where((F.size("common") >= F.col("need")) & (F.element_at("common", 1) == F.col("word")))
-    by_line = verified.select(*key, "block", F.lit(None).cast("array<string>").alias("near"), "label", (F.size("common") / F.size("template_words")).alias("containment"))
+    prefixes = sorted({r[0] for r in rows})
+    held = docs.select(*key, F.col(text_col).alias("_text")).where(may_hold(F.col("_text"), prefixes)).select(*key, words_of(F.col("_text")).alias("words"))
     # Only the words around each prefix word leave a text, never the text once for each of them.
-    worded = held.where(F.contains("_text", F.lit("\n"))).select(*key, words_of(F.col("_text")).alias("words"))
-    marked = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda m: F.array_contains(first, m["word"]))
-    start = lambda m: F.greatest(m["i"] - (widest - 2), F.lit(1))
-    around = F.transform(marked, lambda m: F.slice(F.col("words"), start(m), m["i"] + widest - start(m) + 1))
-    near = worded.select(*key, F.explode(F.array_distinct(around)).alias("near")).crossJoin(F.broadcast(index.select("template", "label", "template_words", "need", "width").distinct()))
-    near = near.where(F.size(F.array_intersect("template_words", "near")) >= F.col("need"))
+    marked = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda m: F.array_contains(literal_words(prefixes), m["word"]))
+    before = lambda m: F.least(m["i"], F.lit(widest - 1))
+    around = F.transform(marked, lambda m: F.struct(m["word"].alias("word"), before(m).alias("before"), F.slice(F.col("words"), m["i"] - before(m) + 1, before(m) + widest).alias("near")))
+    # The index has as many rows as the templates have prefix words.
+    probes = held.select(*key, F.inline(F.array_distinct(around))).join(F.broadcast(index), "word")
+    ahead = F.least(F.col("before"), F.col("width") - 1)
+    probes = probes.withColumn("near", F.slice("near", F.col("before") - ahead + 1, ahead + F.col("width")))
+    rest = F.slice("template_words", F.col("at") + 1, F.size("template_words") - F.col("at"))
+    probes = probes.where((F.size("near") >= F.col("need")) & (F.size(F.array_intersect(rest, "near")) >= F.col("need")))
     starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
     most = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.col("template_words"), F.slice(F.col("near"), k, F.col("width"))))))
-    by_window = near.withColumn("most", most).where(F.col("most") >= F.col("need")).select(*key, F.lit(None).cast("int").alias("block"), "near", "label", (F.col("most") / F.size("template_words")).alias("containment"))
-    scored = by_line.unionByName(by_window).groupBy(*key, "block", "near").agg(F.collect_set(F.struct("containment", "label")).alias("met"))
-    told = F.transform("met", lambda m: m.withField("best", m["containment"] == F.array_max(F.col("met"))["containment"]))
-    return scored.select(*key, "block", F.inline(told))
+    verified = probes.withColumn("most", most).where(F.col("most") >= F.col("need"))
+    return verified.groupBy(*key, "template", "label").agg(F.max(F.col("most") / F.size("template_words")).alias("containment"))
 
 
 def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
@@ -135,7 +136,7 @@ def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """id, n_words, places (label and start of each base phrase), matched (labels of all templates that blocks match), best (of each block's best ones) and score.
+    """id, n_words, places (label and start of each base phrase), matched (labels of all templates that its blocks match) and score.
 
     The score is 1 where a base phrase stands, else the largest containment among the matching blocks, else 0.
     """
@@ -145,21 +146,21 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     # The one pass that cuts whole texts into words.
     base = materialize(worded.select(id_col, "_row", F.size("_words").cast("long").alias("n_words"), phrase_places(F.col("_words"), phrases).alias("places"), F.array_intersect("_words", literal_words(vocabulary)).alias("held")))
     blocks = template_matches(keyed, key=[id_col, "_row"], order=word_order(base, vocabulary), text_col=text_col)
-    matched = blocks.groupBy(id_col, "_row").agg(F.collect_set("label").alias("matched"), F.collect_set(F.when(F.col("best"), F.col("label"))).alias("best"), F.max("containment").alias("containment")).select(F.col(id_col).alias("_id"), F.col("_row").alias("_other"), "matched", "best", "containment")
+    matched = blocks.groupBy(id_col, "_row").agg(F.collect_set("label").alias("matched"), F.max("containment").alias("containment")).select(F.col(id_col).alias("_id"), F.col("_row").alias("_other"), "matched", "containment")
     joined = base.join(matched, (F.col("_row") == F.col("_other")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
     return joined.select(
-        id_col, "n_words", "places", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("matched", "best")],
+        id_col, "n_words", "places", F.coalesce("matched", F.array().cast("array<string>")).alias("matched"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
     )
 
 
 def op9_licenses(docs: DataFrame) -> DataFrame:
-    """The contract's columns, from the operator's places and labels; of a block's templates its best ones."""
+    """The contract's columns, from the operator's places and labels."""
     found = scan(docs)
     starts = F.transform("places", lambda p: p["start"])
     labels = F.transform("places", lambda p: p["label"])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        joined(labels).alias("base_labels"), joined(F.concat(labels, F.col("best"))).alias("labels"), "score",
+        joined(labels).alias("base_labels"), joined(F.concat(labels, F.col("matched"))).alias("labels"), "score",
     )
