@@ -13,6 +13,7 @@ from .decontaminate import op5_decontaminate
 from .licenses import op9_licenses
 from .lm import op2_lm
 from .neardup import op1_near_duplicates
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .quality import op7_quality
 from .secrets import op3_secrets
 from .toxicity import op10_toxicity
@@ -71,5 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": q9,
     "op10_toxicity": q10,
 }
-
-ORACLE_SQL: dict[str, str] = {}
