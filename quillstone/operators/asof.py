@@ -6,6 +6,8 @@ an equi-join (hash partitioned by the key) with the range as a residual conditio
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +18,29 @@ def intervals(series: DataFrame, keys: list[str], date: str) -> DataFrame:
     return series.withColumn("valid_from", F.col(date)).withColumn("valid_to", F.lead(date).over(w))
 
 
+#: Days of a bucket of an as-of join.
+BUCKET_DAYS = 32
+
+
 def asof(left: DataFrame, series: DataFrame, on: list[tuple[str, str]], left_date: str, series_date: str, values: list[str], how: str = "left") -> DataFrame:
-    """Each left row with the newest series row at or before its date; ``on`` pairs left with series columns."""
+    """Each left row with the newest series row at or before its date; ``on`` pairs left with series columns.
+
+    A series row that another follows stands in every bucket of days that its interval touches, and a left row meets
+    those of its own bucket alone: a daily series of decades costs it a month of rows, and a frequent key is spread
+    over its buckets.  The newest row of each key is joined by the key, one row each.
+    """
     own = [s for _, s in on]
+    bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / BUCKET_DAYS).cast("long")
     spans = intervals(series.select(*own, series_date, *values), own, series_date)
-    renamed = spans.select(*[F.col(s).alias(f"__{s}") for s in own], "valid_from", "valid_to", *values)
-    cond = (F.col(left_date) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(left_date) < F.col("valid_to")))
-    for mine, theirs in on:
-        cond = cond & (F.col(mine) == F.col(f"__{theirs}"))
-    return left.join(renamed, cond, how).drop("valid_from", "valid_to", *[f"__{s}" for s in own])
+    part = lambda p: [*[F.col(s).alias(f"{p}_{s}") for s in own], F.col("valid_from").alias(f"{p}_from"), F.col("valid_to").alias(f"{p}_to"), *[F.col(v).alias(f"{p}_{v}") for v in values]]
+    closed = spans.where("valid_to is not null").select(*part("__c"), F.explode(F.sequence(bucket("valid_from"), bucket("valid_to"))).alias("__c_bucket"))
+    newest = spans.where("valid_to is null").select(*part("__n"))
+    same = lambda p: [F.col(mine) == F.col(f"{p}_{theirs}") for mine, theirs in on]
+    met = left.join(closed, reduce(Column.__and__, [*same("__c"), bucket(left_date) == F.col("__c_bucket"), F.col(left_date) >= F.col("__c_from"), F.col(left_date) < F.col("__c_to")]), "left")
+    met = met.join(newest, reduce(Column.__and__, [*same("__n"), F.col(left_date) >= F.col("__n_from")]), "left")
+    if how == "inner":
+        met = met.where("__c_from is not null or __n_from is not null")
+    return met.select(*left.columns, *[F.when(F.col("__c_from").isNotNull(), F.col(f"__c_{v}")).otherwise(F.col(f"__n_{v}")).alias(v) for v in values])
 
 
 def forward_fill(grid: DataFrame, keys: list[str], date: str, value: str) -> Column:

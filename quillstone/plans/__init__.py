@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, fundamentals, performance, relational
+from . import events, fundamentals, performance, relational, scalars
 
-_MODULES = (relational, performance, events, fundamentals)
+_MODULES = (relational, performance, events, fundamentals, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

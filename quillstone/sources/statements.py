@@ -11,9 +11,30 @@ from ..functions.scalars import amount, day, or_none, symbol_cell
 TRADE_REQUIRED = ["symbol", "market", "transaction_type", "quantity", "price", "transaction_date"]
 TRADE_DEFAULTS = {"name": None, "fee": "0", "currency": "CNY", "notes": None}
 ACTION_REQUIRED = ["symbol", "market", "action_type", "ex_date"]
-ACTION_DEFAULTS = {"receipt_confirmed": "False", "amount_basis": "GROSS_NET", "currency": "CNY"} | dict.fromkeys(
-    "name record_date payment_date dividend_per_share total_dividend tax_withheld tax_rate net_dividend shares_received distribution_ratio subscription_price subscription_quantity subscription_amount split_ratio new_shares cost_basis_adjustment adjusted_quantity adjusted_cost_per_share notes".split()
-)
+ACTION_DEFAULTS = {
+    "receipt_confirmed": "False",
+    "amount_basis": "GROSS_NET",
+    "name": None,
+    "record_date": None,
+    "payment_date": None,
+    "dividend_per_share": None,
+    "total_dividend": None,
+    "tax_withheld": None,
+    "tax_rate": None,
+    "net_dividend": None,
+    "shares_received": None,
+    "distribution_ratio": None,
+    "subscription_price": None,
+    "subscription_quantity": None,
+    "subscription_amount": None,
+    "split_ratio": None,
+    "new_shares": None,
+    "cost_basis_adjustment": None,
+    "adjusted_quantity": None,
+    "adjusted_cost_per_share": None,
+    "currency": "CNY",
+    "notes": None,
+}
 ACTION_TEXT = {"receipt_confirmed", "amount_basis", "currency", "name", "notes"}
 
 
@@ -60,14 +81,25 @@ def actions(df: DataFrame) -> DataFrame:
 
 
 def sections(raw: DataFrame, section: str) -> DataFrame:
-    """Rows of one section of a multi-section activity file: (file, line, header, cells) from (file, line, value) text lines.
+    """Rows of one section of a multi-section activity file: (file, line, header, cells, values) from (file, line, value) text lines.
 
     A line starts with its section and its kind (Header or Data); a data line belongs to the newest header
-    of its section above it.  The window runs inside a file's section.
+    of its section above it.  Cells stand where they stand in the line, empty ones as null, up to the header's
+    last; ``values`` maps the header's names (from the third on) to them, of a repeated name the first.  The window
+    runs inside a file's section.
     """
     from pyspark.sql import Window
 
-    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(40))))
-    rows = raw.select("file", "line", F.array_compact(F.array(*[cells[f"c{i}"] for i in range(40)])).alias("cells")).where(F.get("cells", F.lit(0)) == section)
-    header = F.last(F.when(F.get("cells", F.lit(1)) == "Header", F.col("cells")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line"))
-    return rows.withColumn("header", header).where(F.get("cells", F.lit(1)) == "Data")
+    mine = raw.where(F.trim(F.split_part("value", F.lit(","), F.lit(1))).isin(section, f'"{section}"'))
+    # No line has more cells than commas and one.
+    width = mine.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","))) + 1).alias("n")).first().n or 1
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(max(width, 2)))))
+    rows = mine.select("file", "line", cells.alias("c")).select("file", "line", F.array(*[or_none(F.col(f"c.c{i}")) for i in range(max(width, 2))]).alias("cells"))
+    filled = lambda c: F.array_max(F.transform(c, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)))
+    head = F.when(F.get("cells", F.lit(1)) == "Header", F.slice("cells", F.lit(1), filled(F.col("cells"))))
+    header = F.last(head, ignorenulls=True).over(Window.partitionBy("file").orderBy("line"))
+    data = rows.withColumn("header", header).where(F.get("cells", F.lit(1)) == "Data").withColumn("cells", F.slice("cells", F.lit(1), F.coalesce(F.size("header"), F.size("cells"))))
+    named = F.filter(F.transform("header", lambda h, i: F.struct(h.alias("key"), F.get("cells", i).alias("value"), i.alias("i"))), lambda e: (e["i"] >= 2) & e["key"].isNotNull())
+    first = F.filter(named, lambda e: F.array_position(F.slice("header", F.lit(3), F.size("header")), e["key"]) == e["i"] - 1)
+    values = F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"])))
+    return data.withColumn("values", values)

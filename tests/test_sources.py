@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars
+from quillstone.functions import scalars as sc
 from quillstone.sources import feeds, statements, writes
 
 
@@ -77,6 +78,40 @@ def test_sections(spark):
     assert [(r.cells[2:], r.header[2:]) for r in got] == [(["2025-01-02", "A,B"], ["Date", "Symbol"]), (["C", "2025-01-03"], ["Symbol", "Date"])]
 
 
+def test_sections_keep_empty_cells(spark):
+    """A cell that is empty moves none of those behind it; lines may be of any width."""
+    wide = ",".join(f"H{i}" for i in range(60))
+    lines = ["T,Header,A,B,C", "T,Data,1,,3", 'T,Data,"x, y",,', f"T,Header,{wide}", "T,Data," + ",".join(str(i) for i in range(60)), "U,Data,9"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line int, value string")
+    got = [r["values"] for r in statements.sections(df, "T").orderBy("line").collect()]
+    assert got == [{"A": "1", "B": None, "C": "3"}, {"A": "x, y", "B": None, "C": None}, {f"H{i}": str(i) for i in range(60)}]
+    assert statements.sections(df, "none").isEmpty()
+
+
+def test_scalars_by_hand(spark):
+    """Vectors worked out by hand for the functions of cells, ratios, dates and texts."""
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    lit = F.lit
+    assert [one(sc.value_class(lit(t))) for t in ("1,234.56", "73.04南银转债", "A123", "")] == ["d,ddd.dd", "dd.dd<X:4>", "<X:1>ddd", ""]
+    assert [one(sc.mask_code(lit(t))) for t in ("113050", "00700", "F", "")] == ["11****", "00***", "*", ""]
+    assert [one(sc.number_cell(lit(t)).cast("string")) for t in ("(1,034)", "(1,034", "–", "2.50", "")] == ["-1034.00000000", None, None, "2.50000000", None]
+    assert [one(sc.market_of(lit(s), lit(c), lit(h))) for s, c, h in (("200725", "HKD", None), ("00700", "CNY", None), ("AAPL", "USD", None), ("600519", "CNY", "A1"), ("x", "CNY", None), ("600519", "CNY", "H1"))] == ["B股", "港股", "美股", "A股", "其他", "港股"]
+    assert [one(sc.counter_currency(lit(t))) for t in ("80700", "00700", "x")] == ["CNY", None, None]
+    assert [one(sc.bonus_factor(lit(r), lit(b).cast("decimal(9,2)"), lit(h).cast("decimal(9,2)")).cast("double")) for r, b, h in (("10:2", None, 5), (None, 10, 100), ("0:2", None, 5), (None, 5, 0))] == [1.2, 1.1, None, None]
+    assert [one(sc.split_factor(lit(r), lit(b).cast("decimal(9,2)"), lit(h).cast("decimal(9,2)")).cast("double")) for r, b, h in (("1:2", None, 5), (None, 50, 100), ("a:b", None, 5))] == [2.0, 0.5, None]
+    assert [one(sc.clean_factor(lit(x))) for x in (10.05, 0.5, 2.4, 0.0, 0.2501)] == [10.0, 0.5, None, None, 0.25]
+    assert [one(sc.magnitude_off(lit(x))) for x in (1000.0, 1.0, 0.0101, -5.0, 400.0)] == [3, None, -2, None, None]
+    assert [one(sc.growth(lit(a), lit(b))) for a, b in ((120.0, 100.0), (-50.0, -100.0), (5.0, -1.0), (5.0, 0.0))] == [20.0, 50.0, None, None]
+    assert [str(one(sc.day(lit(t)))) for t in ("2025-01-31", "2025/1/3", "20250131", "2025.02.01 10:00", "31.01.2025")] == ["2025-01-31", "2025-01-03", "2025-01-31", "2025-02-01", "None"]
+    assert [one(sc.fiscal_year(lit(t), lit(f))) for t, f in (("20251231", None), ("2026-01-03", "FY"), ("20250630", "H1"), ("bad", "FY"))] == ["2025", "2025", None, None]
+    assert one(sc.squash_spaced(lit("资 产 负 债 表 a b"))) == "资产负债表 a b" and one(sc.ideograph_share(lit("资产 ab"))) == 0.5
+    assert one(sc.symbol_refs(lit("$腾讯(00700)$ $x(aapl)$"), lit("/S/SH600519/31"))) == ["00700", "AAPL", "SH600519"]
+    assert one(sc.ratio_text(lit(" 1：2 "))) == "1:2" and one(sc.ratio_text(lit(" "))) is None
+    assert str(one(sc.quote_day(lit(None).cast("date"), lit("2026-01-03 02:00:00").cast("timestamp"), lit("America/New_York")))) == "2026-01-02"
+    fee = lambda cur, net: one(sc.fee_in_price_currency(lit(10.0), lit(20.0), lit(-100.0), lit(net), lit(-1.5), lit(cur)))
+    assert [fee(True, -101.0), fee(False, -101.0), fee(False, None)] == [1.0, 2.0, 3.0]
+
+
 def test_writes(spark):
     old = spark.createDataFrame([(1, "a", 1, "x"), (2, "b", 5, None), (3, "c", None, None)], "k int, name string, n int, m string")
     new = spark.createDataFrame([(1, "", 3, "y"), (2, "b", 4, None), (4, "d", 1, None)], "k int, name string, n int, m string")
