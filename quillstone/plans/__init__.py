@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, fundamentals, performance, relational, scalars
+from . import events, fundamentals, performance, relational, scalars, selection
 
-_MODULES = (relational, performance, events, fundamentals, scalars)
+_MODULES = (relational, performance, events, fundamentals, scalars, selection)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

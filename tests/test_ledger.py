@@ -6,7 +6,7 @@ import pytest
 from compare import difference
 
 from quillstone import plans
-from quillstone.operators.replay import average_cost, fifo
+from quillstone.operators.replay import average_cost, fifo, xirr
 from quillstone.streaming import windows
 
 
@@ -40,6 +40,15 @@ def test_average_cost_by_hand(spark):
     assert (r.qty, r.avg_cost, r.total_cost) == (15.0, 15.0, 225.0)
 
 
+def test_xirr_by_hand(spark):
+    """A year's tenth, a rate over eight decades, and flows without a rate."""
+    day = dt.date
+    flows = {1: [(day(2025, 1, 1), -1000.0), (day(2026, 1, 1), 1100.0)], 2: [(day(1900, 1, 1), -1000.0), (day(1981, 1, 1), -500.0), (day(1982, 1, 1), 2000.0)], 3: [(day(2025, 1, 1), 5.0)], 4: [(day(2025, 1, 1), -5.0), (day(2025, 1, 1), 5.0)]}
+    df = spark.createDataFrame([(k, d, a) for k, part in flows.items() for d, a in part], "k int, d date, amount double")
+    got = {r.k: r.xirr for r in xirr(df, ["k"]).collect()}
+    assert got[1] == pytest.approx(0.10, abs=2e-4) and got[2] == pytest.approx(0.0049368537, abs=1e-6) and got[3] is None and got[4] is None
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
