@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, fundamentals, performance, relational, scalars, selection
+from . import actions, events, fundamentals, performance, relational, scalars, selection, valuation
 
-_MODULES = (relational, performance, events, fundamentals, scalars, selection)
+_MODULES = (relational, performance, events, fundamentals, scalars, selection, actions, valuation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
