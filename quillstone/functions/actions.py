@@ -119,3 +119,26 @@ def close_wins(close_day: Column, quote_day: Column, source: Column) -> Column:
     """Whether the last close replaces the quote: the newer day does; on the same day the close, but for a price set by hand."""
     same = F.coalesce(source != "manual", F.lit(True))
     return F.when(close_day.isNull(), False).when(quote_day.isNull(), True).otherwise(F.when(close_day != quote_day, close_day > quote_day).otherwise(same))
+
+
+def exchange_legs(pair: Column, quantity: Column, price: Column, currency: Column) -> Column:
+    """array<struct<currency, amount>>: the two cash legs of an exchange "EUR.USD"; null where the pair or its currency is in doubt."""
+    code = F.upper(strip_text(pair))
+    base, quote = F.substring(code, 1, 3), F.substring(code, 5, 3)
+    sure = code.rlike(r"^[A-Z]{3}\.[A-Z]{3}$") & (quantity != 0) & (price > 0) & F.coalesce(F.upper(F.nullif(currency, F.lit(""))) == quote, F.lit(True))
+    kind = "decimal(38,8)"
+    return F.when(sure, F.array(F.struct(base.alias("currency"), quantity.cast(kind).alias("amount")), F.struct(quote.alias("currency"), (-quantity * price).cast(kind).alias("amount"))))
+
+
+def mentions(text: Column, url: Column) -> Column:
+    """Whether a post may name a security: a cheap test that a scan can push down."""
+    return F.coalesce(text.contains("$"), F.lit(False)) | F.coalesce(url.contains("/S/"), F.lit(False))
+
+
+def versions_current(payload: Column, **expected: int) -> Column:
+    """Whether a JSON payload carries just the expected versions; one that isn't readable is out of date."""
+    read = F.from_json(payload, ", ".join(f"{name} bigint" for name in expected))
+    fits = F.lit(True)
+    for name, version in expected.items():
+        fits = fits & read[name].eqNullSafe(F.lit(version))
+    return fits

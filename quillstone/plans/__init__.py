@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import actions, events, fundamentals, performance, relational, scalars, selection, valuation
+from . import actions, events, fundamentals, performance, periods, relational, scalars, selection, valuation
 
-_MODULES = (relational, performance, events, fundamentals, scalars, selection, actions, valuation)
+_MODULES = (relational, performance, events, fundamentals, scalars, selection, actions, valuation, periods)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

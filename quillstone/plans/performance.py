@@ -227,7 +227,7 @@ def month_end(spark: SparkSession, d: str) -> DataFrame:
 
 
 def period_pnl(spark: SparkSession, d: str) -> DataFrame:
-    """Profit of each calendar year: change of the average-cost book plus what flowed out less what flowed in, by user."""
+    """Flows of each calendar year and their balance so far, by user; `curve_periods` adds the change of the book."""
     t = trades(spark, d)
     g = t.groupBy("user_id", F.year("trade_date").alias("year")).agg(F.sum(F.when(F.col("side") == "BUY", F.col("gross") + F.col("fee"))).alias("inflow"), F.sum(F.when(F.col("side") == "SELL", F.col("gross") - F.col("fee"))).alias("outflow"))
     w = running(["user_id"], ["year"])
