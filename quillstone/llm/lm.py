@@ -10,8 +10,8 @@ lowest order add-one over the vocabulary and one unknown word.  Its automaton ha
 - from a state h a failure arc to h', which weighs log10(K / (c(h) + K)) and is taken, as often as needed,
   for a word without an arc.
 
-Weights are kept in billionths, as integers, so that sums don't depend on their order.  A text is traversed once
-from left to right; the walk carries the state and adds up the weights of the arcs that it takes.  Long texts are walked in segments at the same time, each of which starts ``ORDER`` - 1
+Weights are doubles; a text's sum of them is the exact one, rounded once, so it doesn't depend on their order.  A
+text is traversed once from left to right; the walk carries the state and adds up the weights of the arcs that it takes.  Long texts are walked in segments at the same time, each of which starts ``ORDER`` - 1
 words early at the root: after those the state is that of the walk from the beginning.
 
 How it is spread over Spark: texts are dealt into blocks of bounded size.  A block's distinct n-grams with
@@ -47,8 +47,8 @@ ORDER = 3
 STRENGTH = 8.0
 BLOCK_CHARS = 6_000_000
 SEGMENT = 256
-#: Weights are multiples of 1 / UNITS.
-UNITS = 1e9
+#: Bits behind the point up to which sums of weights are exact: a coarse and a fine half, each an integer.
+COARSE, FINE = 30, 66
 _END = np.uint64(0x4F1BBCDCBFA53E0B)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,9 +104,20 @@ def levels(h: np.ndarray, offsets: np.ndarray, weight: np.ndarray, order: int, a
 
 
 def weight_of(chance: np.ndarray) -> np.ndarray:
-    """Nearest multiples, halves away from 0.  The C library's logarithm: numpy's own differs from it in the last bit on some processors."""
-    exact = np.fromiter(map(math.log10, chance.tolist()), dtype=np.float64, count=len(chance)) * UNITS
-    return np.trunc(exact + np.copysign(0.5, exact)).astype(np.int64)
+    """The C library's logarithm: numpy's own differs from it in the last bit on some processors."""
+    return np.fromiter(map(math.log10, chance.tolist()), dtype=np.float64, count=len(chance))
+
+
+def exact_sums(weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of each text's weights as if in exact arithmetic, rounded once.
+
+    A weight is cut into two integers, multiples of 2**-COARSE and of 2**-FINE; a double that weighs 2**-13 or more
+    loses nothing, a lighter one at most 2**-67.  The integers add up in any order to the same.
+    """
+    coarse = np.rint(np.ldexp(weights, COARSE))
+    fine = np.rint(np.ldexp(weights - np.ldexp(coarse, -COARSE), FINE))
+    add = lambda x: np.add.reduceat(x.astype(np.int64), offsets[:-1]).tolist()
+    return np.array([((a << (FINE - COARSE)) + b) / (1 << FINE) for a, b in zip(add(coarse), add(fine), strict=True)], dtype=np.float64)
 
 
 class Automaton:
@@ -119,7 +130,7 @@ class Automaton:
         chance = (first.total + 1.0) / (tokens + words + 1.0)
         self.base = weight_of(chance)
         self.root_to = np.where(first.total > 0, base[0] + np.arange(len(first.keys)), 0)
-        self.fail, self.fail_weight = np.zeros(base[-2], dtype=np.int64), np.zeros(base[-2], dtype=np.int64)
+        self.fail, self.fail_weight = np.zeros(base[-2], dtype=np.int64), np.zeros(base[-2])
         arcs, to, weights = [], [], []
         for below, g in zip(grams, grams[1:], strict=False):
             states = base[below.n - 1] + np.arange(len(below.keys))
@@ -131,11 +142,11 @@ class Automaton:
             to.append(base[g.n - 1] + seen if g is not grams[-1] else base[below.n - 1] + g.suffix[seen])
             weights.append(weight_of(chance[seen]))
         order = np.argsort(arcs := np.concatenate([np.zeros(0, dtype=np.int64), *arcs]))
-        self.arcs, self.to, self.weights = arcs[order], np.concatenate([np.zeros(0, dtype=np.int64), *to])[order], np.concatenate([np.zeros(0, dtype=np.int64), *weights])[order]
+        self.arcs, self.to, self.weights = arcs[order], np.concatenate([np.zeros(0, dtype=np.int64), *to])[order], np.concatenate([np.zeros(0), *weights])[order]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after a word each, and the weights of the arcs taken: failure arcs first, as many as it needs."""
-        after, weight = np.zeros(len(state), dtype=np.int64), np.zeros(len(state), dtype=np.int64)
+        after, weight = np.zeros(len(state), dtype=np.int64), np.zeros(len(state))
         left = np.arange(len(state))
         while len(left):
             at_root = state[left] == 0
@@ -165,7 +176,7 @@ class Automaton:
         start, size = offsets[text] + inner - warm, np.minimum(lens[text] - inner, SEGMENT) + warm
         by = np.argsort(-size, kind="stable")
         start, size, warm = start[by], size[by], warm[by]
-        out = np.zeros(len(word), dtype=np.int64)
+        out = np.zeros(len(word))
         state = np.zeros(len(start), dtype=np.int64)
         for t in range(int(size[0]) if len(size) else 0):
             n = int(np.searchsorted(-size, -t, side="left"))  # segments longer than t come first
@@ -300,7 +311,7 @@ def score(docs: DataFrame, trained: Column, *, id_col: str = "doc_id", text_col:
         automaton = Automaton(grams, words, tokens, strength)
         word = grams[0].index
         add = lambda x: np.add.reduceat(x, offsets[:-1])
-        found = [np.diff(offsets), add((grams[0].total[word] > 0).astype(np.int64)), np.full(len(offsets) - 1, tokens), add(automaton.base[word]) / UNITS, add(automaton.walk(word, offsets, order)) / UNITS]
+        found = [np.diff(offsets), add((grams[0].total[word] > 0).astype(np.int64)), np.full(len(offsets) - 1, tokens), exact_sums(automaton.base[word], offsets), exact_sums(automaton.walk(word, offsets, order), offsets)]
         return pa.table([table["id"], table["trained"], *found], schema=pa.schema(fields))
 
     out = grouped.cogroup(reduce(DataFrame.unionByName, answered).groupBy("block")).applyInArrow(walk, schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from .licenses import CONTAINMENT, PHRASES, TEMPLATES, width_of
-from .lm import STRENGTH
+from .lm import FINE, STRENGTH
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -27,7 +27,8 @@ components AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc
 SELECT doc_id, CAST(len(items) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN components USING (doc_id)
 """
 
-_WEIGHT = "CAST(round(log10({}) * 1e9) AS BIGINT)"
+# A sum of doubles that doesn't depend on their order: exact, rounded once.
+_SUM = f"CAST(sum(CAST(round({{}} * {1 << FINE}::DOUBLE) AS HUGEINT)) AS DOUBLE) / {1 << FINE}::DOUBLE"
 OP2 = rf"""
 WITH RECURSIVE bits(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
 bytes AS (SELECT i, c FROM bits WHERE k = 8),
@@ -46,12 +47,13 @@ counted AS (SELECT p.doc_id, p.held_out, coalesce(one.c, 0) AS c1, coalesce(h1.c
     LEFT JOIN two h2 ON h2.w1 = p.w2 AND h2.w = p.w1 LEFT JOIN three ON three.w2 = p.w2 AND three.w1 = p.w1 AND three.w = p.w),
 first AS (SELECT *, (c1 + 1.0::DOUBLE) / (n + v + 1.0::DOUBLE) AS p1 FROM counted, totals),
 second AS (SELECT *, (c2 + {STRENGTH}::DOUBLE * p1) / (h1 + {STRENGTH}::DOUBLE) AS p2 FROM first),
-walked AS (SELECT doc_id, held_out, c1, n, {_WEIGHT.format("p1")} AS base,
-    CASE WHEN c3 > 0 THEN {_WEIGHT.format(f"(c3 + {STRENGTH}::DOUBLE * p2) / (h2 + {STRENGTH}::DOUBLE)")}
-    ELSE CASE WHEN h2 > 0 THEN {_WEIGHT.format(f"{STRENGTH}::DOUBLE / (h2 + {STRENGTH}::DOUBLE)")} ELSE 0 END
-        + CASE WHEN c2 > 0 THEN {_WEIGHT.format("p2")} ELSE CASE WHEN h1 > 0 THEN {_WEIGHT.format(f"{STRENGTH}::DOUBLE / (h1 + {STRENGTH}::DOUBLE)")} ELSE 0 END + {_WEIGHT.format("p1")} END END AS weight FROM second)
+walked AS (SELECT doc_id, held_out, c1, n, log10(p1) AS base,
+    CASE WHEN c3 > 0 THEN log10((c3 + {STRENGTH}::DOUBLE * p2) / (h2 + {STRENGTH}::DOUBLE))
+    ELSE CASE WHEN h2 > 0 THEN log10({STRENGTH}::DOUBLE / (h2 + {STRENGTH}::DOUBLE)) ELSE 0 END
+        + CASE WHEN c2 > 0 THEN log10(p2) WHEN h1 > 0 THEN log10({STRENGTH}::DOUBLE / (h1 + {STRENGTH}::DOUBLE)) ELSE 0 END
+        + CASE WHEN c2 > 0 THEN 0 ELSE log10(p1) END END AS weight FROM second)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, any_value(n) AS train_tokens,
-    CAST(sum(base) AS DOUBLE) / 1e9 AS base_score, CAST(sum(weight) AS DOUBLE) / 1e9 AS score FROM walked GROUP BY doc_id, held_out
+    {_SUM.format("base")} AS base_score, {_SUM.format("weight")} AS score FROM walked GROUP BY doc_id, held_out
 """
 
 _DOT = "list_reduce(list_transform(range(len({0})), lambda i: {0}[i + 1] * {1}[i + 1]), lambda x, y: x + y)"

@@ -164,7 +164,7 @@ def test_language_model_automaton_state_by_state():
             state, weight = machine.step(state.copy(), grams[0].index[[offsets[text] + k]])
             longest = next(g for m in (2, 1, 0) if m <= k + 1 and (not (g := tuple(w[k + 1 - m : k + 1])) or counts[g]))
             assert names[int(state[0])] == longest
-            assert weight[0] / lm.UNITS == pytest.approx(math.log10(backoff_chance(counts, n, v, tuple(w[max(0, k - 2) : k]), word)), abs=2 / lm.UNITS)
+            assert weight[0] == pytest.approx(math.log10(backoff_chance(counts, n, v, tuple(w[max(0, k - 2) : k]), word)), rel=1e-12)
     # A long text in segments walks as it does in one piece.
     long = " ".join("abcdef"[x] for x in np.random.default_rng(1).integers(0, 6, 3 * lm.SEGMENT))
     h, offsets = lm.tokens_of([long])
@@ -177,6 +177,24 @@ def test_language_model_automaton_state_by_state():
     assert (machine.walk(grams[0].index, offsets, 3) == np.array(one)).all()
 
 
+def test_language_model_sums_are_exact(spark):
+    rng = np.random.default_rng(3)
+    weights = np.concatenate([-rng.random(5000) * 8, -rng.random(200) * 1e-3, [-0.0, -7.9999999]])
+    offsets = np.array([0, 1, 700, len(weights)])
+    want = [math.fsum(weights[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert lm.exact_sums(weights, offsets).tolist() == want
+    order = np.concatenate([[0], 1 + rng.permutation(699), 700 + rng.permutation(len(weights) - 700)])
+    assert lm.exact_sums(weights[order], offsets).tolist() == want
+    # One arc taken 200,000 times: the error of a rounded weight would add up.
+    n = 200_000
+    row = lm.score(spark.createDataFrame([(1, "a b " * n)], "doc_id bigint, text string"), F.lit(True)).first()
+    terms = {c: math.log10((c + 1) / (2 * n + 1 + 3 + 1)) for c in (n, 1)}
+    assert row.base_score == pytest.approx(2 * n * terms[n] + terms[1], rel=1e-13)
+    counts = Counter({("a",): n, ("b",): n, ("\0end",): 1, ("a", "b"): n, ("b", "a"): n - 1, ("b", "\0end"): 1, ("a", "b", "a"): n - 1, ("b", "a", "b"): n - 1, ("a", "b", "\0end"): 1})
+    p = lambda h, w: math.log10(backoff_chance(counts, 2 * n + 1, 3, h, w))
+    assert row.score == pytest.approx(p((), "a") + p(("a",), "b") + (n - 1) * (p(("a", "b"), "a") + p(("b", "a"), "b")) + p(("a", "b"), "\0end"), rel=1e-13)
+
+
 def test_language_model_exchange_is_exact():
     keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all() and len(lm.unpack_keys(lm.pack_keys(keys[:0]))) == 0
