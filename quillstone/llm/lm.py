@@ -108,16 +108,17 @@ def weight_of(chance: np.ndarray) -> np.ndarray:
     return np.fromiter(map(math.log10, chance.tolist()), dtype=np.float64, count=len(chance))
 
 
-def exact_sums(weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The sum of each text's weights as if in exact arithmetic, rounded once.
+def halves(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights as integers, multiples of 2**-COARSE and of 2**-FINE; a double that weighs 2**-13 or more loses nothing, a lighter one at most 2**-67."""
+    coarse = np.rint(weights * 2.0**COARSE)
+    fine = np.rint((weights - coarse * 2.0**-COARSE) * 2.0**FINE)
+    return coarse.astype(np.int64), fine.astype(np.int64)
 
-    A weight is cut into two integers, multiples of 2**-COARSE and of 2**-FINE; a double that weighs 2**-13 or more
-    loses nothing, a lighter one at most 2**-67.  The integers add up in any order to the same.
-    """
-    coarse = np.rint(np.ldexp(weights, COARSE))
-    fine = np.rint(np.ldexp(weights - np.ldexp(coarse, -COARSE), FINE))
-    add = lambda x: np.add.reduceat(x.astype(np.int64), offsets[:-1]).tolist()
-    return np.array([((a << (FINE - COARSE)) + b) / (1 << FINE) for a, b in zip(add(coarse), add(fine), strict=True)], dtype=np.float64)
+
+def exact_sums(parts: tuple[np.ndarray, np.ndarray], offsets: np.ndarray) -> np.ndarray:
+    """The sum of each text's weights as if in exact arithmetic, rounded once: integers add up in any order to the same."""
+    coarse, fine = (np.add.reduceat(x, offsets[:-1]).tolist() for x in parts)
+    return np.array([((a << (FINE - COARSE)) + b) / (1 << FINE) for a, b in zip(coarse, fine, strict=True)], dtype=np.float64)
 
 
 class Automaton:
@@ -311,7 +312,7 @@ def score(docs: DataFrame, trained: Column, *, id_col: str = "doc_id", text_col:
         automaton = Automaton(grams, words, tokens, strength)
         word = grams[0].index
         add = lambda x: np.add.reduceat(x, offsets[:-1])
-        found = [np.diff(offsets), add((grams[0].total[word] > 0).astype(np.int64)), np.full(len(offsets) - 1, tokens), exact_sums(automaton.base[word], offsets), exact_sums(automaton.walk(word, offsets, order), offsets)]
+        found = [np.diff(offsets), add((grams[0].total[word] > 0).astype(np.int64)), np.full(len(offsets) - 1, tokens), exact_sums(tuple(x[word] for x in halves(automaton.base)), offsets), exact_sums(halves(automaton.walk(word, offsets, order)), offsets)]
         return pa.table([table["id"], table["trained"], *found], schema=pa.schema(fields))
 
     out = grouped.cogroup(reduce(DataFrame.unionByName, answered).groupBy("block")).applyInArrow(walk, schema)

@@ -1,6 +1,6 @@
 """DuckDB SQL for the training-data operators that SQL can express.
 
-op3 (inferred grammars), op5 (float impacts of an index), op6 (merges), op7, op10 (classifiers) and op8 (a tree of
+op3 (inferred grammars), op5 (float impacts of an index), op6 and op13 (merges), op7, op10 (classifiers) and op8 (a tree of
 unknown depth) have none; the tests hold them against brute force, the library or held-out labels.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from .codes import ENTRIES, PARTS, ROUNDS, SCALE
 from .licenses import CONTAINMENT, PHRASES, TEMPLATES, width_of
 from .lm import FINE, STRENGTH
 
@@ -91,4 +92,47 @@ FROM found LEFT JOIN met USING (r)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": OP1, "op2_lm": OP2, "op4_neighbours": OP4, "op9_licenses": _licenses()}
+_CASED_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+# Each document meets each order: it goes at the first of the filters that it fails.
+OP11 = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_CASED_WORDS} AS words FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l USING (doc_id)),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+gone AS (SELECT *, coalesce(list_min(list_transform(string_split(fails, ''), lambda c: CASE WHEN c = '' THEN 6 ELSE instr(filter_order, c) END)), 6) AS gone_at FROM f, orders),
+steps AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS own, count(*) FILTER (gone_at > step) AS kept, count(*) FILTER (gone_at = step) AS removed,
+    count(*) FILTER (gone_at < step AND contains(fails, substr(filter_order, step, 1))) AS redundant, count(*) FILTER (fails = substr(filter_order, step, 1)) AS unique_fails,
+    count(*) FILTER (gone_at = step AND good) AS good_lost, count(*) FILTER (gone_at = step AND toxic) AS toxic_lost
+    FROM (SELECT *, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM gone) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM steps
+"""
+
+
+def _op12() -> str:
+    """Every part against every entry, in doubles that hold all integers here; rounds one after the other."""
+    far = "list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, b.x) + list_dot_product(b.x, b.x)"
+    sql = rf"""
+WITH finite AS (SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda v: floor(CAST(v AS DOUBLE) * {SCALE})) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+p AS MATERIALIZED (SELECT id, vec_id, part, v[part * (len(v) // {PARTS}) + 1 : (part + 1) * (len(v) // {PARTS})] AS x FROM finite, (SELECT unnest(range({PARTS})) AS part)),
+book0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < {ENTRIES})"""
+    for r in range(ROUNDS + 1):
+        sql += rf""",
+near{r} AS MATERIALIZED (SELECT id, part, arg_min(entry, ({far}, entry)) AS entry, min({far}) AS distance FROM p JOIN book{r} b USING (part) GROUP BY id, part)"""
+        if r < ROUNDS:
+            sql += rf""",
+sums{r} AS (SELECT part, entry, place, floor(sum(p.x[place]) / count(*)) AS mean FROM p JOIN near{r} USING (id, part), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS place) GROUP BY part, entry, place),
+book{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN (SELECT part, entry, list(mean ORDER BY place) AS x FROM sums{r} GROUP BY part, entry) m USING (part, entry))"""
+    return sql + rf""",
+done AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error FROM near{ROUNDS} GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: CAST(c AS BIGINT)), ','), ',' ORDER BY part, entry)) FROM book{ROUNDS}) AS codebooks_sha256
+FROM done JOIN finite USING (id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": OP1, "op2_lm": OP2, "op4_neighbours": OP4, "op9_licenses": _licenses(), "op11_audit": OP11, "op12_codes": _op12()}

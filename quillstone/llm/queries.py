@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op4_neighbours
+from .audit import op11_audit
 from .bpe import op6_bpe
+from .codes import op12_codes
 from .common import table
 from .decontaminate import op5_decontaminate
 from .licenses import op9_licenses
 from .lm import op2_lm
 from .neardup import op1_near_duplicates
 from .oracles import ORACLE_SQL as ORACLE_SQL
+from .pieces import op13_pieces
 from .quality import op7_quality
 from .secrets import op3_secrets
 from .toxicity import op10_toxicity
@@ -60,6 +63,18 @@ def q4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_codes(table(spark, sf_dir, "embeddings"))
+
+
+def q13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_pieces(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": q1,
     "op2_lm": q2,
@@ -71,4 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": q8,
     "op9_licenses": q9,
     "op10_toxicity": q10,
+    "op11_audit": q11,
+    "op12_codes": q12,
+    "op13_pieces": q13,
 }
