@@ -7,9 +7,7 @@ user, whose events stay few while the number of keys grows with the data.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,70 +67,6 @@ def average_cost(trades: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return out.select(*keys, F.col("s.qty").alias("qty"), F.try_divide("s.cost", "s.qty").alias("avg_cost"), F.col("s.cost").alias("total_cost"))
 
 
-def fifo_accounts(events: DataFrame, keys: list[str]) -> DataFrame:
-    """FIFO by account with transfers that carry lots, their dates and costs, to another account.
-
-    events: keys, account, to_account (transfers), side (BUY, SELL, TRANSFER), qty, gross, fee, trade_date, seq.
-    A sell or transfer beyond what the account holds is skipped and counted.  Returns keys, account, qty,
-    cost, realised, skipped.  Lots that move between buckets are what the built-in folds can't express.
-    """
-
-
-    def replay(rows: list) -> list[tuple]:
-        lots: dict[object, list[list]] = {}
-        realised: dict[object, float] = {}
-        skipped: dict[object, int] = {}
-
-        def pop(account: object, qty: float) -> list[list] | None:
-            have = lots.setdefault(account, [])
-            if qty > sum(x[0] for x in have) + 1e-9:
-                skipped[account] = skipped.get(account, 0) + 1
-                return None
-            out = []
-            while qty > 1e-9:
-                q, c, d = have[0]
-                part = min(q, qty)
-                out.append([part, c * part / q, d])
-                if q - part > 1e-9:
-                    have[0] = [q - part, c - c * part / q, d]
-                else:
-                    have.pop(0)
-                qty -= part
-            return out
-
-        for e in rows:
-            lots.setdefault(e.account, [])
-            if e.side == "BUY":
-                lots[e.account].append([e.qty, e.gross + e.fee, e.trade_date])
-            elif (got := pop(e.account, e.qty)) is not None:
-                if e.side == "SELL":
-                    realised[e.account] = realised.get(e.account, 0.0) + e.gross - e.fee - sum(x[1] for x in got)
-                else:
-                    lots[e.to_account] = sorted(lots.get(e.to_account, []) + got, key=lambda x: x[2])
-        first = tuple(getattr(rows[0], k) for k in keys)
-        return [(*first, a, sum(x[0] for x in ls), sum(x[1] for x in ls), realised.get(a, 0.0), skipped.get(a, 0)) for a, ls in lots.items()]
-
-    columns = [*keys, "account", "qty", "cost", "realised", "skipped"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Partitions hold whole keys in order; a key's events may cross the batches of one partition."""
-        held: list = []
-        for pdf in batches:
-            out = []
-            for e in pdf.itertuples(index=False):
-                if held and any(getattr(held[0], k) != getattr(e, k) for k in keys):
-                    out += replay(held)
-                    held = []
-                held.append(e)
-            yield pd.DataFrame(out, columns=columns)
-        if held:
-            yield pd.DataFrame(replay(held), columns=columns)
-
-    kinds = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
-    ordered = events.repartition(*keys).sortWithinPartitions(*keys, "trade_date", "seq")
-    return ordered.mapInPandas(run, f"{kinds}, account {events.schema['account'].dataType.simpleString()}, qty double, cost double, realised double, skipped int")
-
-
 def xirr(flows: DataFrame, keys: list[str], date: str = "d", amount: str = "amount", steps: int = 100) -> DataFrame:
     """keys and the yearly rate that makes the discounted flows sum to zero; null if all have one sign.
 

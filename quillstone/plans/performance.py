@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import forward_fill
 from ..operators.ordered import clamped_position, running, running_product
-from ..operators.replay import average_cost, fifo, fifo_accounts, xirr
+from ..operators.replay import average_cost, fifo, xirr
 from .star import CLOSES_SQL, KEY, ORDER, ORDER_SQL, QUOTES_SQL, TRADES_SQL, closes, dbl, fills, trades
 
 T = "WITH " + TRADES_SQL
@@ -108,15 +108,6 @@ def fifo_overlap(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("user_id").agg(F.count("*").alias("pairs"), F.round(F.sum(part), R2).alias("qty"), F.round(F.sum(F.col("b_cost") * part / F.col("b_qty")), R2).alias("cost"))
 
 
-def fifo_by_account(spark: SparkSession, d: str) -> DataFrame:
-    """Per-account FIFO in which every sell of line 7 moves lots to the next account instead."""
-    t = trades(spark, d).withColumn("seq", F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER)))
-    side = F.when((F.col("side") == "SELL") & (F.col("line") == 7), "TRANSFER").otherwise(F.col("side"))
-    e = t.select(*KEY, F.col("account_id").alias("account"), ((F.col("account_id") + 1) % 3).alias("to_account"), side.alias("side"), F.col("qty").cast("double").alias("qty"), F.col("gross").cast("double").alias("gross"), F.col("fee").cast("double").alias("fee"), "trade_date", "seq")
-    a = fifo_accounts(e, KEY)
-    return a.groupBy("user_id", "account").agg(F.sum("skipped").alias("skipped"), F.round(F.sum("qty"), R2).alias("qty"), F.round(F.sum("cost"), R2).alias("cost"), F.round(F.sum("realised"), R2).alias("realised"))
-
-
 def realized_pnl(spark: SparkSession, d: str) -> DataFrame:
     c = closed_trades(spark, d)
     return c.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("proceeds") - F.col("cost")), R2).alias("pnl"), F.round(F.sum("cost"), R2).alias("cost"), F.round(F.sum(F.col("proceeds") - F.col("cost")) / F.sum("cost"), 6).alias("rate"))
@@ -246,7 +237,7 @@ def money_weighted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "positions_lenient": positions_lenient, "positions_clamped": positions_clamped, "positions_split_adjusted": positions_split_adjusted, "first_oversell": first_oversell,
     "avg_cost_holdings": avg_cost_holdings, "fifo_summary": fifo_summary, "fifo_closed_trades": fifo_closed_trades, "fifo_open_lots": fifo_open_lots, "fifo_overlap": fifo_overlap,
-    "fifo_accounts": fifo_by_account, "realized_pnl": realized_pnl, "trade_skill": trade_skill, "cost_by_market": cost_by_market, "portfolio_summary": portfolio_summary,
+    "realized_pnl": realized_pnl, "trade_skill": trade_skill, "cost_by_market": cost_by_market, "portfolio_summary": portfolio_summary,
     "dividend_summary": dividend_summary, "invested_peak": invested_peak, "return_curve": return_curve, "drawdown": drawdown, "risk_metrics": risk_metrics,
     "benchmark_series": benchmark_series, "month_end": month_end, "period_pnl": period_pnl, "xirr": money_weighted,
 }
