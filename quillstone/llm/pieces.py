@@ -9,8 +9,8 @@ their UTF-8 bytes.
 No merge crosses a place where a mark follows another character, if no piece does; then a text is cut there, and the
 ids of each distinct chunk are kept in a bounded cache of the task.  Otherwise the text is one chunk.
 
-With ``check_path`` the sentencepiece library reads that file and every Arrow batch is compared with what it gives, ids
-and decoded text; the job ends at the first difference.
+With ``check_path`` the sentencepiece library reads that file and every Arrow batch is compared with what it gives: the
+ids of each chunk that is new to the task, and every decoded text; the job ends at the first difference.
 
 The model file is read on the driver and broadcast; its size is that of the file.  Read are merge-type models with
 byte fallback, the mark before the text, and no character map; others are refused, not encoded differently.
@@ -30,6 +30,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -39,11 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MARK = "▁"
-CACHE_CHUNKS = 100_000
+CACHE_CHUNKS = 300_000
+#: Chunks of up to so many characters keep their agenda in an array, many chunks at once; longer ones in a heap.
+SHORT_CHUNK = 32
+NEVER = float("inf")
 #: Chunks longer than this are encoded anew each time.
 LONG_CHUNK = 64
 #: Rows that leave a task at once.
-OUT_ROWS = 256
+OUT_ROWS = 1024
 # Fixed values of the model format: kinds of pieces, the merge type.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
@@ -108,13 +112,31 @@ class Model:
         return out
 
 
+def without(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each row without its element at the given place."""
+    stay = np.ones(rows.shape, dtype=bool)
+    stay[np.arange(len(rows)), at] = False
+    return rows[stay].reshape(len(rows), -1)
+
+
 class Encoder:
     """Ids and decoded texts; lives inside a task."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, check=None):
+        """check: the library's processor of the same file, to compare with."""
+        self.check = check
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == NORMAL}
         self.cost = {p: -model.scores[i] for p, i in self.ids.items()}
-        self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
+        self.packed = {p: struct.pack("<i", i) for p, i in self.ids.items()}
+        self.packed_bytes = {int(p[3:5], 16): struct.pack("<i", i) for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
+        # The symbol of each character: its piece, else a number below zero.
+        self.letters = -1 - np.arange(0x110000, dtype=np.int64)
+        alone = {ord(p): i for p, i in self.ids.items() if len(p) == 1}
+        self.letters[list(alone)] = list(alone.values())
+        # Every way to put a piece together from two, by the ids of the two.
+        halves = sorted(((self.ids[p[:k]] << 32) | self.ids[p[k:]], self.cost[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+        self.keys = np.array([h[0] for h in halves] + [1 << 62], dtype=np.int64)
+        self.key_cost, self.key_piece = np.array([h[1] for h in halves] + [NEVER]), np.array([h[2] for h in halves] + [-1], dtype=np.int64)
         crossed = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.chunks = re.compile(".+" if crossed else f"{MARK}+[^{MARK}]*", re.DOTALL)
         shown = {NORMAL: lambda p: p.replace(MARK, " ").encode(), UNKNOWN: lambda p: model.unknown.encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:5], 16)])}
@@ -122,13 +144,56 @@ class Encoder:
         self.kinds = np.array(model.kinds)
         self.cache: dict[str, bytes] = {}
 
-    def merge(self, chunk: str) -> list[str]:
-        """The symbols that are left when the agenda is empty."""
+    def scan(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Symbols of chunks of one length, a row each; (indices of the chunks, rows) as their agendas run empty.
+
+        An agenda is an array, the cost of each pair at its left symbol's place.  All chunks take the best pair of
+        theirs at the same time, so they have lost one symbol each and keep a common length.
+        """
+        symbols = self.letters[np.frombuffer("".join(chunks).encode("utf-32-le"), dtype="<u4")].reshape(len(chunks), -1)
+        agenda, merged = self.pairs(symbols[:, :-1], symbols[:, 1:])
+        index = np.arange(len(chunks))
+        while agenda.shape[1]:
+            at = agenda.argmin(axis=1)  # of equal costs the leftmost
+            row = np.arange(len(at))
+            work = agenda[row, at] < NEVER
+            if not work.all():
+                yield index[~work], symbols[~work]
+                index, symbols, agenda, merged, at = index[work], symbols[work], agenda[work], merged[work], at[work]
+                row = np.arange(len(at))
+            if not len(index):
+                return
+            symbols[row, at] = merged[row, at]
+            symbols, agenda, merged = without(symbols, at + 1), without(agenda, at), without(merged, at)
+            for left in (at - 1, at):
+                ok = (left >= 0) & (left < agenda.shape[1])
+                r, k = row[ok], left[ok]
+                agenda[r, k], merged[r, k] = self.pairs(symbols[r, k], symbols[r, k + 1])
+        yield index, symbols
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and id of the piece that two symbols make together, where they make one."""
+        key = np.where((left >= 0) & (right >= 0), (left << 32) | right, -1)
+        at = np.searchsorted(self.keys, key)
+        found = self.keys[at] == key
+        return np.where(found, self.key_cost[at], NEVER), np.where(found, self.key_piece[at], -1)
+
+    def packed_rows(self, symbols: np.ndarray) -> list[bytes]:
+        """Rows of ids as bytes; characters that are no piece become their byte pieces."""
+        data, wide = symbols.astype("<i4").tobytes(), 4 * symbols.shape[1]
+        out = [data[k : k + wide] for k in range(0, len(data), wide)]
+        for r in np.flatnonzero((symbols < 0).any(axis=1)).tolist():
+            out[r] = b"".join(struct.pack("<i", i) if i >= 0 else self.packed_char(chr(-1 - i)) for i in symbols[r].tolist())
+        return out
+
+    def packed_char(self, char: str) -> bytes:
+        return b"".join(self.packed_bytes[b] for b in char.encode("utf-8", "replace"))
+
+    def merge_long(self, chunk: str) -> list[str]:
+        """The symbols that are left of a long chunk: its agenda is a heap of pairs, and the symbols are a linked list."""
         symbols: list[str] = list(chunk)
         n = len(symbols)
         cost = self.cost
-        if chunk in cost and n == 1:
-            return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(cost[pair], i, pair) for i in range(n - 1) if (pair := symbols[i] + symbols[i + 1]) in cost]
         heapq.heapify(agenda)
@@ -148,27 +213,42 @@ class Encoder:
                 heapq.heappush(agenda, (cost[grown], ahead, grown))
         return [s for s in symbols if s]
 
-    def chunk_ids(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for symbol in self.merge(chunk):
-            known = self.ids.get(symbol)
-            ids += [known] if known is not None else [self.bytes[b] for b in symbol.encode("utf-8", "replace")]
-        return struct.pack(f"<{len(ids)}i", *ids)
+    def learn(self, chunks: list[str]) -> None:
+        """Puts the chunks' ids, as little-endian 32-bit integers, into the cache."""
+        by_length: dict[int, list[str]] = {}
+        for c in chunks:
+            by_length.setdefault(len(c), []).append(c)
+        for length, group in by_length.items():
+            if length > SHORT_CHUNK:
+                self.cache.update((c, b"".join(self.packed.get(x) or self.packed_char(x) for x in self.merge_long(c))) for c in group)
+                continue
+            for index, symbols in self.scan(group):
+                self.cache.update(zip(map(group.__getitem__, index.tolist()), self.packed_rows(symbols), strict=True))
+
+    def compare(self, chunks: list[str]) -> None:
+        """A chunk alone is what the library encodes when it is given the chunk without its first mark, which it sets itself."""
+        told = [c for c in chunks if len(c) > 1]
+        mine = list(map(self.cache.__getitem__, told))
+        theirs = self.check.encode([c[1:] for c in told], num_threads=1)
+        flat = np.array(list(chain.from_iterable(theirs)), dtype="<i4").tobytes()
+        if b"".join(mine) != flat or [len(m) for m in mine] != [4 * len(t) for t in theirs]:
+            wrong = next(c for c, m, t in zip(told, mine, theirs, strict=True) if np.frombuffer(m, dtype="<i4").tolist() != t)
+            raise ValueError(f"{wrong!r}: not as the sentencepiece library encodes")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as 32-bit integers."""
         cut = [self.chunks.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        cache, long = self.cache, []
-        for c in set().union(*cut):
-            if c not in cache:
-                cache[c] = self.chunk_ids(c)
-                if len(c) > LONG_CHUNK:
-                    long.append(c)
+        cache = self.cache
+        new = [c for c in set().union(*cut) if c not in cache]
+        self.learn(new)
+        if self.check:
+            self.compare(new)
         out = [np.frombuffer(b"".join(map(cache.__getitem__, chunks)), dtype="<i4") for chunks in cut]
-        for c in long:
-            del cache[c]
+        for c in new:
+            if len(c) > LONG_CHUNK:
+                del cache[c]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -215,11 +295,12 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     schema = StructType([rows.schema[0], *StructType.fromDDL("ids array<int>, decoded string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, check = Encoder(model.value), None
+        check = None
         if library.value:
             from sentencepiece import SentencePieceProcessor
 
             check = SentencePieceProcessor(model_proto=library.value)
+        encoder = Encoder(model.value, check)
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(at, OUT_ROWS)
@@ -227,10 +308,9 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                 ids = encoder.encode(texts)
                 decoded = list(map(encoder.decode, ids))
                 if check:
-                    for i, (t, mine, shown) in enumerate(zip(texts, ids, decoded, strict=True)):
-                        theirs = check.encode(t)
-                        if mine.tolist() != theirs or shown != check.decode(theirs):
-                            raise ValueError(f"{part.column(0)[i].as_py()}: not as the sentencepiece library encodes and decodes")
+                    for i, (mine, shown) in enumerate(zip(ids, decoded, strict=True)):
+                        if shown != check.decode(mine.tolist()):
+                            raise ValueError(f"{part.column(0)[i].as_py()}: not as the sentencepiece library decodes")
                 yield pa.RecordBatch.from_arrays([part.column(0), lists_of(ids), pa.array(decoded, pa.string())], schema.names)
 
     return rows.mapInArrow(run, schema)
