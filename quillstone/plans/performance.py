@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.asof import forward_fill
-from ..operators.ordered import clamped_position, running, running_product
+from ..operators.curve import return_curve as sweep
+from ..operators.ordered import clamped_position, running
 from ..operators.replay import average_cost, fifo, xirr
 from .star import CLOSES_SQL, KEY, ORDER, ORDER_SQL, QUOTES_SQL, TRADES_SQL, closes, dbl, fills, trades
 
@@ -155,30 +156,11 @@ def invested_peak(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curve(spark: SparkSession, d: str) -> DataFrame:
-    """Daily value, flows and return of the event-driven ledger: clamped positions at the last known price.
-
-    The grid is days x symbols traded, both bounded by the calendar and the securities, not by the trades.
-    """
-    f = fills(spark, d).withColumn("s", F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")))
-    order = ["d", "side", "event_id"]
-    p = clamped_position(F.col("s"), ["symbol"], order, f).withColumn("prior", F.coalesce(F.lag("position").over(Window.partitionBy("symbol").orderBy(*order)), F.lit(0.0)))
-    matched = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(F.col("prior") - F.col("position"))
-    daily = p.groupBy("symbol", "d").agg(F.max_by("position", F.struct("side", "event_id")).alias("pos"), F.sum(F.when(F.col("side") == "BUY", F.col("qty") * F.col("price"))).alias("inflow"), F.sum(F.when(F.col("side") == "SELL", matched * F.col("price"))).alias("outflow"), F.max_by("price", F.struct("side", "event_id")).alias("traded"))
-    c = closes(spark, d)
-    grid = c.select("d").union(daily.select("d")).distinct()
-    symbols = daily.select("symbol").distinct()
-    points = symbols.withColumn("one", F.lit(1)).join(grid.withColumn("one", F.lit(1)), "one").drop("one")
-    full = points.join(daily, ["symbol", "d"], "left").join(c, ["symbol", "d"], "left").withColumn("price", F.coalesce("close", "traded"))
-    held = full.withColumn("position", forward_fill(full, ["symbol"], "d", "pos")).withColumn("last_price", forward_fill(full, ["symbol"], "d", "price"))
-    days = held.groupBy("d").agg(F.sum(F.coalesce(F.col("position") * F.col("last_price"), F.lit(0.0))).alias("mv"), F.sum(F.coalesce("inflow", F.lit(0.0))).alias("inflow"), F.sum(F.coalesce("outflow", F.lit(0.0))).alias("outflow"))
-    # One row a day: a window without partitions runs over days only.
-    w = Window.partitionBy().orderBy("d")
-    before = F.coalesce(F.lag("mv").over(w), F.lit(0.0))
-    base = before + F.col("inflow")
-    r = days.withColumn("r", F.when(base > 0, (F.col("mv") + F.col("outflow")) / base - 1))
-    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumn("factor", running_product(1 + F.coalesce("r", F.lit(0.0)), up))
-    return r.withColumn("drawdown", F.col("factor") / F.greatest(F.lit(1.0), F.max("factor").over(up)) - 1)
+    """Daily value, flows and return of the event-driven ledger: clamped positions at the last known price."""
+    none = lambda kind: F.lit(None).cast(kind)
+    place = F.when(F.col("side") == "BUY", 1).otherwise(3)
+    e = fills(spark, d).select(F.lit(0).alias("u"), "symbol", F.lit("C0").alias("cur"), "d", place.alias("place"), F.col("event_id").alias("id"), F.col("side").alias("kind"), F.col("qty").alias("q"), (F.col("qty") * F.col("price")).alias("c"), none("double").alias("num"), none("double").alias("den"), F.col("price").alias("p"))
+    return sweep(e, closes(spark, d), users=["u"]).drop("u")
 
 
 def return_curve(spark: SparkSession, d: str) -> DataFrame:
