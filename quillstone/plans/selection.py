@@ -182,7 +182,7 @@ def tail_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def open_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Events inside two markets' hours, and inside a weekly window."""
+    """Events inside two markets' hours."""
     e = table(spark, d, "events")
     home = sel.session_open(F.col("ts"), "Asia/Shanghai", [("09:30", "11:30"), ("13:00", "15:00")])
     away = sel.session_open(F.col("ts"), "America/New_York", [("09:30", "16:00")])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import settlement as st
+from ..operators.asof import asof
 from ..sources import rows as sr
 from .star import table
 
@@ -69,7 +71,27 @@ def statement_errors(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("statement", "kind", "skip", "error").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
 
 
-QUERIES = {"statement_flows": statement_flows, "statement_errors": statement_errors}
+def settled_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Booked trades of the statements in the currency they settle in, by statement and side."""
+    f = sr.flow_rows(sr.statement_rows(lines(spark, d))).where("error IS NULL AND skip IS NULL AND kind IN ('BUY', 'SELL')")
+    connect = F.col("statement") == "hk_connect"
+    rate = F.when(F.col("file") % 2 == 0, F.lit("0.92").cast("decimal(10,4)"))
+    price = st.settled_price(connect, F.col("price"), F.col("amount"), F.col("quantity"), rate)
+    flow = st.settlement_flow(F.when(connect, "gross").otherwise("net"), F.col("amount"), F.col("fees"), F.col("kind") == "BUY")
+    return f.groupBy("statement", "kind").agg(F.count("*").alias("n"), F.count(price).alias("priced"), F.round(F.sum(price.cast("decimal(28,8)")), 3).cast("double").alias("prices"), F.round(F.sum(flow), 2).cast("double").alias("flow"))
+
+
+def trading_days(spark: SparkSession, d: str) -> DataFrame:
+    """Each day's last completed trading day: a calendar that ends early, else weekdays; and events of the night's hours."""
+    e = table(spark, d, "events").select(F.to_date("ts").alias("day"), F.lit("X").alias("market"), "ts")
+    calendar = e.where("dayofmonth(day) < 20 AND weekday(day) < 5 AND dayofmonth(day) % 5 > 0").select("market", F.date_add("day", 1).alias("from"), F.col("day").alias("opened")).distinct()
+    days = e.groupBy("market", "day").agg(F.count_if(st.hours_open(F.col("ts"), "Asia/Shanghai", 2, 6)).alias("night"))
+    r = asof(days, calendar, [("market", "market")], "day", "from", ["opened"])
+    known = F.when(F.datediff("day", "opened") <= 20, F.col("opened"))
+    return r.select(F.col("day").cast("string").alias("day"), st.last_trading_day(F.col("day"), F.when(F.dayofmonth("day") <= 22, known)).cast("string").alias("last"), "night")
+
+
+QUERIES = {"statement_flows": statement_flows, "statement_errors": statement_errors, "settled_trades": settled_trades, "trading_days": trading_days}
 
 _KNOWN = f"""WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS j, l_suppkey AS s, CAST(l_shipdate AS DATE) AS day FROM lineitem),
  a AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _ROW.items())} FROM l),
@@ -82,5 +104,10 @@ _KNOWN = f"""WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY
    CASE WHEN business = '' THEN NULL WHEN b IN (0, 2) THEN 'BUY' WHEN b IN (1, 3) THEN 'SELL' WHEN b = 4 THEN 'DIVIDEND' WHEN b = 5 THEN 'TAX' WHEN b = 6 THEN 'FEE' END AS kind, CASE WHEN early IS NULL THEN CASE WHEN invalid IS NOT NULL THEN 'invalid' ELSE reason END END AS skip, coalesce(early, invalid, apart, CASE WHEN reason = 'conflict' THEN 'conflict' END) AS error FROM i)"""
 ORACLE = {
     "statement_flows": _KNOWN + " SELECT * FROM f",
+    "settled_trades": _KNOWN + """ SELECT statement, kind, count(*) AS n, count(px) AS priced, ROUND(SUM(px), 3) AS prices, CAST(ROUND(CAST(SUM(flow) AS DECIMAL(28,4)), 2) AS DOUBLE) AS flow
+      FROM (SELECT *, CASE WHEN statement = 'stock' THEN price WHEN file % 2 = 0 THEN abs(amount) / quantity / 0.92::DOUBLE END AS px, CASE WHEN statement = 'stock' THEN amount WHEN kind = 'BUY' THEN -(abs(amount) + fees) ELSE abs(amount) - fees END AS flow FROM f WHERE error IS NULL AND skip IS NULL AND kind IN ('BUY', 'SELL')) GROUP BY 1, 2""",
+    "trading_days": """WITH e AS (SELECT CAST(ts AS DATE) AS day, ts FROM events), c AS (SELECT DISTINCT day AS opened FROM e WHERE day(day) < 20 AND isodow(day) < 6 AND day(day) % 5 > 0),
+      g AS (SELECT day, count(*) FILTER (hour(ts + INTERVAL 8 HOUR) BETWEEN 2 AND 5) AS night FROM e GROUP BY 1)
+      SELECT CAST(day AS VARCHAR) AS day, CAST(coalesce(CASE WHEN day(day) <= 22 THEN (SELECT max(opened) FROM c WHERE opened < g.day AND g.day - opened <= 20) END, day - CASE isodow(day) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END) AS VARCHAR) AS last, night FROM g""",
     "statement_errors": _KNOWN + " SELECT statement, kind, skip, error, count(*) AS n, count(DISTINCT file) AS files FROM f GROUP BY ALL",
 }

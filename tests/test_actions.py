@@ -66,3 +66,19 @@ def test_implemented(spark):
     df = spark.createDataFrame(rows, "k int, end date, ex date, announced date, noticed date, amount double, stock double")
     got = sorted((r.k, r.end, r.amount, r.conflict, r.ends) for r in va.implemented(df, ["k"]).select("k", "end", F.coalesce("amount", F.lit(-1.0)).alias("amount"), "conflict", "ends").collect())
     assert got == [(1, D(2025, 6, 30), 1.0, False, 2), (2, D(2024, 12, 31), 2.0, True, 1), (3, D(2024, 12, 31), -1.0, False, 1), (3, D(2025, 12, 31), -1.0, False, 1)]
+
+
+def test_settlement_and_trading_days(spark):
+    from quillstone.functions import settlement as st
+
+    rows = [(True, 5.0, -92.0, 10.0, 0.92), (True, 5.0, -92.0, 10.0, None), (True, 5.0, -92.0, 0.0, 0.92), (False, 5.0, 1.0, 0.0, None), (None, 5.0, 1.0, 1.0, 1.0)]
+    c = F.col
+    got = spark.createDataFrame(rows, "k boolean, p double, a double, q double, r double").select(st.settled_price(c("k"), c("p"), c("a"), c("q"), c("r")).alias("x")).collect()
+    assert [r.x and round(r.x, 9) for r in got] == [10.0, None, None, 5.0, 5.0]
+    rows = [("net", -5.0, 1.0, True), ("gross", 5.0, 1.0, True), ("gross", -5.0, 1.0, False), ("gross", 5.0, None, True), ("other", 5.0, 1.0, True), (None, 5.0, 1.0, True)]
+    got = spark.createDataFrame(rows, "b string, a double, f double, buys boolean").select(st.settlement_flow(c("b"), c("a"), c("f"), c("buys")).alias("x")).collect()
+    assert [r.x for r in got] == [-5.0, -6.0, 4.0, -5.0, None, None]
+    rows = [(D(2026, 1, 5), None), (D(2026, 1, 4), None), (D(2026, 1, 3), None), (D(2026, 1, 6), D(2026, 1, 2)), (D(2026, 1, 6), D(2026, 1, 6))]
+    got = spark.createDataFrame(rows, "d date, o date").select(st.last_trading_day(c("d"), c("o")).alias("x")).collect()
+    assert [r.x for r in got] == [D(2026, 1, 2), D(2026, 1, 2), D(2026, 1, 2), D(2026, 1, 2), D(2026, 1, 5)]
+    assert spark.sql("SELECT timestamp'2026-01-01 18:30:00' AS t").select(st.hours_open(c("t"), "Asia/Shanghai", 2, 6)).first()[0]
