@@ -75,7 +75,9 @@ def flow_rows(rows: DataFrame) -> DataFrame:
     cell = lambda name: F.when(F.array_position("columns", name) > 0, F.get("cells", F.array_position("columns", name) - 1))
     named = {"business": BUSINESS, "code": CODE, "name": NAME, "price_text": PRICE, "balance": BALANCE}
     names = [QUANTITY, PRICE, AMOUNT, RATE, *FEES, *STOCK_FEES, *CONNECT_FEES]
-    r = rows.select("file", "row", "account", "columns", day_of(cell(DATE)).alias("day"), *[strip_text(cell(c)).alias(a) for a, c in named.items()], *[strict_number(cell(c)).alias(c) for c in names])
+    # Cells are read once: what follows can't be pushed below the generator.
+    read = F.struct(day_of(cell(DATE)).alias("day"), *[strip_text(cell(c)).alias(a) for a, c in named.items()], *[strict_number(cell(c)).alias(c) for c in names])
+    r = rows.select("file", "row", "account", "columns", F.inline(F.array(read)))
     connect = F.array_contains("columns", RATE)
     needed = lambda cols: [F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in cols]
     missing = F.when(connect, F.array_compact(F.array(*needed([QUANTITY, PRICE, AMOUNT, *FEES, RATE, *CONNECT_FEES])))).otherwise(F.array_compact(F.array(*needed([QUANTITY, PRICE, AMOUNT, *FEES, *STOCK_FEES]))))
