@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import actions, buckets, curves, events, evidence, fundamentals, performance, periods, relational, scalars, selection, statements, valuation
+from . import actions, buckets, curves, events, evidence, fundamentals, performance, periods, receipts, relational, scalars, selection, statements, valuation
 
-_MODULES = (relational, performance, events, fundamentals, scalars, selection, actions, valuation, periods, buckets, curves, evidence, statements)
+_MODULES = (relational, performance, events, fundamentals, scalars, selection, actions, valuation, periods, buckets, curves, evidence, statements, receipts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
