@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -425,6 +426,17 @@ def test_url_branches_of_wide_nodes_and_deep_paths(spark):
     assert got == {-1: "block", -2: "allow", -3: "block", -4: "allow", -5: "block", -6: "allow", -7: "allow"}
 
 
+def test_urls_that_share_thousands_of_segments(spark):
+    """A pair with one long way in common, and paths that each are the next one's beginning, take a few rounds of jobs."""
+    way = "/".join(f"d{i}" for i in range(2000))
+    rows = [(1, f"http://pair.test/{way}/x", 1), (2, f"http://pair.test/{way}/y", 0)] + [(10 + i, "http://trap.test/" + "/".join("a" * (i + 1)), 1) for i in range(800)]
+    began = time.monotonic()
+    got = {r.page_id: (r.verdict, r.template.count("/")) for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, bad int"), rules=[], label_col="bad").collect()}
+    assert time.monotonic() - began < 90
+    assert got[1][0] == got[2][0] == "allow" and got[1][1] == got[2][1] == 2000
+    assert [got[10 + i] for i in range(800)] == [("block", i) for i in range(800)]
+
+
 def test_licenses(docs, plain):
     word = re.compile(licenses.WORD)
 
@@ -580,11 +592,18 @@ def test_planted_secret_that_no_base_pattern_finds(spark):
         assert grammars.gain(token) == pytest.approx(gain) and (gain >= grammars.threshold) == ((260 + i, token) in spans)
 
 
-def test_url_verdicts_equal_a_plain_tree(spark):
-    """The template tree against one built with dictionaries, host by host."""
+@pytest.mark.parametrize("shape", ["broad", "deep"])
+def test_url_verdicts_equal_a_plain_tree(spark, shape):
+    """The template tree against one built with dictionaries, host by host; also with long trunks, ends on them and late forks."""
     rng = np.random.default_rng(9)
     rows = []
-    for i in range(1500):
+    for i in range(700 if shape == "deep" else 0):
+        trunk = [f"a{k}" for k in range(40)] + [f"{'bc'[i % 2]}{k}" for k in range(30)] + [f"{'bc'[i % 2]}{rng.integers(0, 4)}{k}" for k in range(20)]
+        parts = trunk[: int(rng.choice([rng.integers(1, 91), 90, 40, 55]))]
+        label = None if rng.random() < 0.4 else int(rng.random() < (0.95 if len(parts) > 40 and i % 2 else 0.1))
+        rows.append((i, f"http://h{i % 3 // 2}.test/" + "/".join(parts), label))
+    rows += [(1000 + i, f"http://one{i}.test/" + "x/" * 99 + "x", 1 if i else None) for i in range(2) if shape == "deep"]
+    for i in range(1500 if shape == "broad" else 0):
         host = f"h{rng.integers(0, 6)}.test"
         parts = [f"s{rng.integers(0, 5 if host != 'h1.test' else 90)}", str(rng.integers(0, 50)), f"t{rng.integers(0, 3)}"][: int(rng.integers(1, 4))]
         label = None if rng.random() < 0.4 else int(rng.random() < (0.97 if parts[0] in ("s1", "s2") or host == "h4.test" else 0.1))
@@ -621,8 +640,6 @@ def test_url_verdicts_equal_a_plain_tree(spark):
             m, worse = add(part)
             if m >= urls.MIN_LABELLED and len(named) > 1 and abs(worse / m - bad / n) < bound * (m**-0.5 + n**-0.5):
                 s = urls.SIMILAR
-            elif not m and len(named) > urls.MAX_CHILDREN:
-                s = urls.UNKNOWN
             go.setdefault(s, []).extend(part)
         for s, part in go.items():
             m, worse = add(part)
