@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import actions, alerts, buckets, curves, events, evidence, fundamentals, performance, periods, progress, receipts, relational, scalars, selection, statements, valuation
+from . import actions, alerts, buckets, catalog, curves, events, evidence, fundamentals, performance, periods, progress, receipts, relational, scalars, selection, statements, valuation
 
-_MODULES = (relational, performance, events, fundamentals, scalars, selection, actions, valuation, periods, buckets, curves, evidence, statements, receipts, alerts, progress)
+_MODULES = (relational, performance, events, fundamentals, scalars, selection, actions, valuation, periods, buckets, curves, evidence, statements, receipts, alerts, progress, catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
