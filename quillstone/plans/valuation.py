@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import actions as ac
 from ..operators import valuation as va
 from .fundamentals import _FACTS_SQL, _r, _rs, facts
-from .performance import signed
+from .performance import _CURVE, curve, signed
 from .star import CLOSES_SQL, FX_SQL, KEY, ORDER, ORDER_SQL, QUOTES_SQL, TRADES_SQL, closes, dbl, fills, fx, table, trades
 
 _RECORD = "DATE '1997-01-01' + CAST(symbol % 365 AS INTEGER)"
@@ -41,9 +41,12 @@ def valuation_prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark_excess(spark: SparkSession, d: str) -> DataFrame:
-    """Each symbol as a benchmark of a tenth's return; the difference only where its range begins no later."""
-    r = va.span_return(closes(spark, d).where("symbol % 3 > 0 or d > DATE '2024-01-10'"), ["symbol"], "d", "close", F.lit("2024-01-08").cast("date"), F.lit("2024-01-20").cast("date"))
-    return r.select("symbol", "alignment", _r("rate").alias("rate"), F.when(F.col("alignment") == "on_or_before_start", _r(F.lit(0.1) - F.col("rate"))).alias("excess"))
+    """Each symbol as a benchmark of the portfolio's return; the difference only where its range begins no later."""
+    start, end = F.lit("2024-01-08").cast("date"), F.lit("2024-01-20").cast("date")
+    r = va.span_return(closes(spark, d).where("symbol % 3 > 0 or d > DATE '2024-01-10'"), ["symbol"], "d", "close", start, end)
+    own = va.span_return(curve(spark, d).select(F.lit(0).alias("portfolio"), "d", "factor"), ["portfolio"], "d", "factor", start, end).select(F.col("rate").alias("own"))
+    r = r.join(F.broadcast(own))  # one row
+    return r.select("symbol", "alignment", _r("rate").alias("rate"), F.when(F.col("alignment") == "on_or_before_start", _r(F.col("own") - F.col("rate"))).alias("excess"))
 
 
 def range_clamps(spark: SparkSession, d: str) -> DataFrame:
@@ -164,9 +167,10 @@ ORACLE = {
         j AS (SELECT *, CASE WHEN cd IS NULL THEN false WHEN symbol % 5 = 0 OR qd IS NULL THEN true WHEN cd = qd THEN symbol % 3 <> 0 ELSE cd > qd END AS wins FROM q FULL JOIN c USING (symbol))
         SELECT symbol, round(CASE WHEN wins THEN c ELSE q END, 4) AS price, CASE WHEN wins THEN 'latest_history' ELSE 'holding' END AS origin, CAST(CASE WHEN wins THEN cd ELSE qd END AS VARCHAR) AS day,
         date_diff('day', CASE WHEN wins THEN cd ELSE qd END, (SELECT CAST(max(ts) AS DATE) FROM events)) > 7 AS stale FROM j""",
-    "benchmark_excess": f"""WITH {CLOSES_SQL}, c AS (SELECT * FROM closes WHERE d <= DATE '2024-01-20' AND (symbol % 3 > 0 OR d > DATE '2024-01-10')),
-        g AS (SELECT symbol, arg_max(close, d) FILTER (d <= DATE '2024-01-08') AS a, arg_min(close, d) FILTER (d > DATE '2024-01-08') AS f, arg_max(close, d) AS l FROM c GROUP BY 1), r AS (SELECT symbol, CASE WHEN a IS NULL THEN 'first_available' ELSE 'on_or_before_start' END AS alignment, l / nullif(ifnull(a, f), 0) - 1 AS rate FROM g)
-        SELECT symbol, alignment, {_rs("rate")} AS rate, CASE WHEN alignment = 'on_or_before_start' THEN {_rs("CAST(0.1 AS DOUBLE) - rate")} END AS excess FROM r""",
+    "benchmark_excess": _CURVE + f""", bc AS (SELECT * FROM closes WHERE d <= DATE '2024-01-20' AND (symbol % 3 > 0 OR d > DATE '2024-01-10')),
+        bg AS (SELECT symbol, arg_max(close, d) FILTER (d <= DATE '2024-01-08') AS a, arg_min(close, d) FILTER (d > DATE '2024-01-08') AS f, arg_max(close, d) AS l FROM bc GROUP BY 1), br AS (SELECT symbol, CASE WHEN a IS NULL THEN 'first_available' ELSE 'on_or_before_start' END AS alignment, l / nullif(ifnull(a, f), 0) - 1 AS rate FROM bg),
+        own AS (SELECT (SELECT max_by(factor, d) FROM k WHERE d <= DATE '2024-01-20') / (SELECT max_by(factor, d) FROM k WHERE d <= DATE '2024-01-08') - 1 AS own)
+        SELECT symbol, alignment, {_rs("rate")} AS rate, CASE WHEN alignment = 'on_or_before_start' THEN {_rs("own - rate")} END AS excess FROM br, own""",
     "range_clamps": "WITH " + TRADES_SQL + """, h AS (SELECT user_id, min(trade_date) AS a, max(trade_date) AS b FROM trades GROUP BY 1),
         q AS (SELECT o_custkey % 5 AS user_id, o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) + to_months(CAST((o_orderkey % 9 - 4) * 36 AS INTEGER)) AS DATE) AS s, CAST(CAST(o_orderdate AS DATE) + to_months(CAST((o_orderkey % 9 - 4) * 36 + 12 AS INTEGER)) AS DATE) AS e FROM orders),
         x AS (SELECT user_id, a, b, CASE WHEN k % 5 > 0 THEN s END AS s, CASE WHEN k % 7 > 0 THEN e END AS e FROM q JOIN h USING (user_id)), y AS (SELECT *, CASE WHEN s > a THEN s ELSE a END AS lo, CASE WHEN e < b THEN e ELSE b END AS hi FROM x),
