@@ -8,7 +8,9 @@ replayed as one bucket, in which transfers change nothing and a sell of more tha
 
 Quantities, costs and shares of costs stay decimals from the first event to the last.  A lot keeps the quantity and
 the cost that it began with, and what is left of it; parts of its cost come from these alone, so a lot that is sold in
-pieces doesn't drift.  A key's events are one array in one task: as long as one security of one user has few enough.
+pieces doesn't drift.  An absolute action rounds each lot at eight digits, so lots may add up to a hair less or more than
+it says: FIFO lets a sell or transfer be ``SLACK`` more than the lots hold, and an account whose lots are no larger than
+``DUST`` holds nothing that an absolute action could be told to.  A key's events are one array in one task: as long as one security of one user has few enough.
 
 Kinds of events: BUY (q, c paid), SELL (q, c received), OUT and IN (q, ``link`` of IN: the id of its OUT), and from
 actions RATIO (every account's shares times num / den), ADD (q shares on those held), TOTAL (q shares in place of
@@ -31,6 +33,8 @@ FIFO = f"STRUCT<lots: ARRAY<{LOT}>, closed: ARRAY<{CLOSED}>, skipped: INT, error
 BALANCE = f"STRUCT<a: BIGINT, q: {Q}, c: {RESULT}, unknown: {Q}, moving: BIGINT>"
 AVERAGE = f"STRUCT<buckets: ARRAY<{BALANCE}>, error: STRING>"
 EVENT = ["d", "place", "id", "leg", "kind", "a", "link", "q", "c", "num", "den"]
+# Shares that rounding may take from lots, or leave in them.
+SLACK, DUST = "0.000001BD", "0.0000001BD"
 
 
 def trade_events(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,7 +101,7 @@ def held(rows: str, account: str) -> str:
 
 
 def holders(rows: str) -> str:
-    return f"array_distinct(transform(filter({rows}, h -> h.moving IS NULL AND h.q > 0), h -> h.a))"
+    return f"array_distinct(transform(filter({rows}, h -> h.moving IS NULL AND h.q > {DUST}), h -> h.a))"
 
 
 def times(value: str, num: str, den: str, kind: str = Q) -> str:
@@ -129,14 +133,15 @@ def fifo_step(strict: bool) -> str:
     scaled = lambda test, num, den: state(lots=f"transform(s.lots, x -> IF(x.moving IS NULL AND {test}, {changed('x', LOT, LOT_FIELDS, q=times('x.q', num, den), q0=times('x.q0', num, den))}, x))")
     opened = f"concat(s.lots, array({lot('e.a', 'e.c IS NOT NULL', 'coalesce(e.c, 0)')}))"
     changed_total = scaled("x.a <=> y.a", "IF(e.kind = 'ADD', n + e.q, e.q)", "n")
-    absolute = let(held("s.lots", "y.a"), "n", f"IF(n > 0, {changed_total}, s)")
+    absolute = let(held("s.lots", "y.a"), "n", f"IF(n > {DUST}, {changed_total}, s)")
     rights = state(lots=f"concat(s.lots, array({lot('y.a')}))")
     told = let(f"named_struct('a', {TARGET})", "y", f"IF(e.kind = 'RIGHTS', {rights}, {absolute})")
     short = error("sells more than the account has") if strict else state(skipped="s.skipped + 1")
+    over = f"e.q > {held('s.lots', 'e.a')} + {SLACK}"
     return f"""CASE WHEN s.error IS NOT NULL THEN s
         WHEN e.kind = 'BUY' THEN {state(lots=f"concat(s.lots, array({lot('e.a')}))")}
-        WHEN e.kind = 'SELL' THEN IF(e.q > {held("s.lots", "e.a")}, {short}, {sold})
-        WHEN e.kind = 'OUT' THEN IF(e.q > {held("s.lots", "e.a")}, {error("moves more than the account has")}, {gone})
+        WHEN e.kind = 'SELL' THEN IF({over}, {short}, {sold})
+        WHEN e.kind = 'OUT' THEN IF({over}, {error("moves more than the account has")}, {gone})
         WHEN e.kind = 'IN' THEN IF(exists(s.lots, x -> x.moving <=> e.link AND e.link IS NOT NULL), {come}, {error("arrives without having left")})
         WHEN e.kind = 'RATIO' THEN {scaled("true", "e.num", "e.den")}
         WHEN e.kind = 'OPEN' THEN {state(lots=by_date(opened) if strict else opened)}

@@ -102,6 +102,20 @@ def test_oversell_in_one_bucket_is_skipped_whole(spark):
     assert row.branch == "merged" and row.error == "sells more than the account has"
 
 
+def test_rounded_lots_are_sold_whole(spark):
+    """Seven lots of 143 shares become 40, each rounded at eight digits, and add up to 39.99999999."""
+    bought = [trade(k, "BUY", q, 5, k) for k, q in enumerate((20, 20, 5, 28, 30, 26, 14), 1)]
+    r = fifo(spark, [*bought, trade(9, "SELL", 40, 6, 21)], [action(8, "REVERSE_SPLIT", 20, new_total=40)])
+    assert r.skipped == 0 and not r.lots and [(c.q, c.first) for c in r.closed] == [(D(40), day(1))] and abs(r.closed[0].cost - 715) < D("1e-6")
+    moved = [trade(9, "OUT", 40, 0, 21, 1), trade(10, "IN", 40, 0, 21, 2, link=9), trade(11, "SELL", 40, 6, 22, 2)]
+    r = fifo(spark, [*bought, *moved], [action(8, "REVERSE_SPLIT", 20, new_total=40)])
+    assert (r.branch, r.reason) == ("account", None) and not r.lots and len(r.closed) == 1
+    # What rounding leaves holds nothing: 5 of 3 * 1.66666667 are sold, and the next number is told to the other account.
+    three = [trade(k, "BUY", 1, 5, k, 1) for k in (1, 2, 3)]
+    r = fifo(spark, [*three, trade(4, "BUY", 9, 5, 4, 2), trade(6, "SELL", 5, 6, 7, 1)], [action(5, "REVERSE_SPLIT", 6, a=1, new_total=5), action(7, "BONUS_ISSUE", 8, shares=1)])
+    assert (r.branch, r.reason) == ("account", None) and [x[:2] for x in lots(r) if x[1] > D("1e-7")] == [(2, D(10))]
+
+
 def test_ratios_work_in_all_accounts_and_absolute_numbers_in_one(spark):
     two = [trade(1, "BUY", 10, 5, 1, 1), trade(2, "BUY", 20, 7, 2, 2)]
     r = fifo(spark, two, [action(1, "STOCK_SPLIT", 5, split="1:2"), action(2, "BONUS_ISSUE", 6, distribution="10：3")])
