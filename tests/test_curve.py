@@ -98,6 +98,36 @@ def test_curve_equals_its_sql_on_ties(spark, sf_dir):
     assert difference(curves.portfolio_curve(spark, d), curves.ORACLE["portfolio_curve"], d) == ""
 
 
+@pytest.mark.parametrize("query", ["portfolio_curve", "portfolio_risk", "portfolio_weeks"])
+def test_positions_beyond_twelve_digits(spark, tmp_path, query):
+    """Fifty ratios of two take six shares to 6 * 2 ** 50, fifty of a half take them back."""
+    at = lambda day, second: dt.datetime(2024, 1, day, 9, 0, second)
+    events = [(5, at(9, 0), 0, "purchase", 3.0), (10, at(9, 1), 0, "view", 4.0), (65, at(12, 0), 3, "purchase", 5.0)]
+    events += [(60 * k, at(14, k), 0, "signup", 1.0) for k in range(1, 51)] + [(60 * k + 30, at(18, k), 0, "signup", 1.0) for k in range(1, 51)]
+    events += [(9000 + 5 * day, at(day, 50), 0, "view", (4.0 + day % 3) * (2.0**-50 if 14 <= day < 18 else 1)) for day in range(10, 30)]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    d = str(tmp_path)
+    sql = curves.ORACLE[query].replace("FROM events", f"FROM '{d}/events.parquet/*.parquet'")
+    assert difference(getattr(curves, query)(spark, d), sql, d) == ""
+    if query == "portfolio_curve":
+        mv = {r.d[8:]: r.mv for r in curves.portfolio_curve(spark, d).where("u = 0").collect()}
+        assert mv["13"] == 6 * 5 + 6 * 5 and mv["14"] == mv["20"] == 6 * 6 + 6 * 5
+
+
+def test_value_keeps_nothing_of_large_positions_that_have_gone(spark):
+    ledger = [buy("A", "C", "2025-01-01", 4, 10), buy("B", "C", "2025-01-01", 1, 5, id=2)]
+    ledger += [event("A", "C", "2025-01-02", "RATIO", num=2, den=1, id=k) for k in range(3, 403)] + [event("A", "C", "2025-01-03", "RATIO", num=1, den=2, id=k) for k in range(500, 900)]
+    rows = run(spark, ledger, [("A", f"2025-01-0{n}", 1) for n in (1, 2, 3)]).orderBy("d").collect()
+    assert [r.mv for r in rows] == [9, 4 * 2.0**400, 9] and [r.opening for r in rows] == [0, 9, 4 * 2.0**400]
+
+
+def test_no_key_is_gathered(spark):
+    """A fold over a gathered key copied what it had put out so far at each event: time grew with the square of a key's events."""
+    e, _, _ = frames(spark, LEDGER, CLOSES)
+    plan = curve.walked(e.withColumn("rate", F.lit(1.0)), ["u", "symbol"])._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
 def test_openings(spark):
     ledger = [buy("A", "C", "2024-12-01", 10, 5), event("A", "C", "2024-12-20", "RATIO", num=2, den=1), buy("B", "C", "2024-12-05", 2, 50), event("Z", "C", "2024-12-06", "OPEN", 3)]
     rows = run(spark, ledger, [("A", "2024-12-10", 6), ("B", "2024-12-05", 60), ("A", "2025-01-02", 3), ("Z", "2025-01-03", 9)], start="2025-01-01", end="2025-01-04").orderBy("d").collect()
