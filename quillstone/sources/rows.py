@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.actions import CONNECT_FEE, TRADE_BUSINESS, skip_reason
-from ..functions.scalars import strip_text
 
 # Titles, labels, names of columns and of businesses, amounts that may differ.
 ROWS_TITLE, OTHER_TITLES = "流水明细", ["未回业务流水明细", "配号信息"]
@@ -35,25 +34,37 @@ def statement_rows(lines: DataFrame) -> DataFrame:
     title that ends them.  Lines before a header, and table lines that no row is open for, are no rows.
     """
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    text = strip_text(F.col("text"))
-    cells = F.transform(F.split(text, r"\|"), strip_text)
-    x = lines.select("file", "n", text.alias("text"), cells.alias("cells")).withColumn("table", F.size("cells") > 1)
-    label = lambda name: F.when(~F.col("table") & F.col("text").startswith(name), strip_text(F.regexp_replace(F.substring("text", len(name) + 1, 1000), "^[：:]", "")))
-    title = F.when(~F.col("table") & F.col("text").isin([ROWS_TITLE, *OTHER_TITLES]), F.struct("n", F.col("text").alias("title")))
-    header = F.when(F.col("table") & F.array_contains("cells", DATE), F.struct("n", F.col("cells").alias("columns")))
     last = lambda c: F.last(c, ignorenulls=True).over(w)
-    x = x.withColumns({"account": last(label(ACCOUNT_LABEL)), "period": last(label(PERIOD_LABEL)), "section": last(title), "head": last(header)})
-    inside = (F.col("section.title") == ROWS_TITLE) & (F.col("head.n") > F.col("section.n")) & F.col("table") & (F.col("n") > F.col("head.n"))
-    when = day_of(F.get("cells", F.array_position("head.columns", DATE) - 1))
-    x = x.withColumn("inside", F.coalesce(inside, F.lit(False)))
-    x = x.withColumn("row", last(F.when(F.col("inside") & when.isNotNull(), F.col("n"))))
-    rows = x.where("inside AND row > head.n").groupBy("file", "row").agg(F.min_by("account", "n").alias("account"), F.min_by("period", "n").alias("period"), F.min_by("head.columns", "n").alias("columns"), F.array_sort(F.collect_list(F.struct("n", "cells"))).alias("parts"))
-    joined = F.transform("columns", lambda _, i: F.array_join(F.filter(F.transform("parts", lambda p: F.get(p["cells"], i)), lambda c: c != ""), ""))
-    wide = F.exists("parts", lambda p: F.size(p["cells"]) > F.size("columns"))
+    text = F.col("text")
+    x = lines.select("file", "n", strip_text(text).alias("text")).withColumn("table", text.contains("|"))
+    label = lambda name: F.when(~F.col("table") & text.startswith(name), strip_text(F.regexp_replace(F.substring("text", len(name) + 1, 1000), "^[：:]", "")))
+    title = F.when(~F.col("table") & text.isin([ROWS_TITLE, *OTHER_TITLES]), F.struct("n", (text == ROWS_TITLE).alias("of_rows")))
+    # Lines are carried as text; only headers are cut into cells here, and rows once they are whole.
+    place = F.when(F.col("table") & text.contains(DATE), F.array_position(cells_of(text), DATE))
+    x = x.withColumns({"label": label(ACCOUNT_LABEL), "range": label(PERIOD_LABEL), "title": title, "place": place})
+    x = x.withColumns({"account": last("label"), "period": last("range"), "section": last("title"), "head": last(F.when(F.col("place") > 0, F.struct("n", "text", "place")))})
+    x = x.where(F.col("section.of_rows") & (F.col("head.n") > F.col("section.n")) & F.col("table") & (F.col("n") > F.col("head.n")))
+    dated = day_of(F.get(F.split("text", r"\|"), F.col("head.place") - 1)).isNotNull()
+    x = x.select("file", "n", "text", "account", "period", "head", last(F.when(dated, F.col("n"))).alias("row")).where("row > head.n")
+    whole = Window.partitionBy("file", "row").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = x.withColumn("parts", F.collect_list("text").over(whole)).where("n = row")
+    rows = rows.select("file", "row", "account", "period", cells_of(F.col("head.text")).alias("columns"), F.transform("parts", cells_of).alias("parts"))
+    joined = F.transform("columns", lambda _, i: F.array_join(F.filter(F.transform("parts", lambda p: F.get(p, i)), lambda c: c != ""), ""))
+    wide = F.exists("parts", lambda p: F.size(p) > F.size("columns"))
     day = lambda i: day_of(F.get(F.split("period", "-"), F.lit(i)))
     return rows.select("file", "row", "account", day(0).alias("first_day"), day(1).alias("last_day"), "columns", joined.alias("cells"), F.when(wide, "more cells than columns").alias("warning"))
 
 
+def strip_text(text: Column) -> Column:
+    """Without byte order marks and outer white space, null as empty: each cell passes here, so without patterns."""
+    return F.btrim(F.replace(F.coalesce(text, F.lit("")), F.lit("\ufeff"), F.lit("")), F.lit(" \t\n\x0b\f\r"))
+
+
+def cells_of(line: Column) -> Column:
+    """The cells of a line between its bars, without outer white space."""
+    return F.transform(F.split(line, r"\|"), strip_text)
+
+
 def day_of(text: Column) -> Column:
     """The date of 20250131, 2025-01-31 or 2025/01/31."""
     digits = F.regexp_replace(strip_text(text), "[-/]", "")
@@ -63,7 +74,7 @@ def day_of(text: Column) -> Column:
 def strict_number(text: Column) -> Column:
     """A number with or without commas between its thousands; null of anything else, an empty cell too."""
     bare = F.replace(strip_text(text), F.lit(","))
-    return F.when(F.translate(bare, "0123456789.+-", "") == "", bare.try_cast(MONEY))
+    return F.when(bare.rlike(r"^[0-9.+-]+\z"), bare.try_cast(MONEY))
 
 
 def flow_rows(rows: DataFrame) -> DataFrame:
@@ -72,12 +83,15 @@ def flow_rows(rows: DataFrame) -> DataFrame:
     Of several faults the first counts: business, date, numbers, balance, negative fees, then what the kind asks for.
     A trade's amount must be quantity times price and fees, as far as the shown digits of the price tell.
     """
-    cell = lambda name: F.when(F.array_position("columns", name) > 0, F.get("cells", F.array_position("columns", name) - 1))
+    cell = lambda name: F.get("cells", F.array_position("columns", name) - 1)
+    of_all = lambda names, read: F.transform(F.array(*map(F.lit, names)), lambda name: read(cell(name)))
     named = {"business": BUSINESS, "code": CODE, "name": NAME, "price_text": PRICE, "balance": BALANCE}
     names = [QUANTITY, PRICE, AMOUNT, RATE, *FEES, *STOCK_FEES, *CONNECT_FEES]
-    # Cells are read once: what follows can't be pushed below the generator.
-    read = F.struct(day_of(cell(DATE)).alias("day"), *[strip_text(cell(c)).alias(a) for a, c in named.items()], *[strict_number(cell(c)).alias(c) for c in names])
+    # Cells are read once: what follows can't be pushed below the generator.  One function reads all cells of a kind,
+    # as code written out for each of them grows too long for the JVM to compile.
+    read = F.struct(day_of(cell(DATE)).alias("day"), of_all(named.values(), strip_text).alias("texts"), of_all(names, strict_number).alias("numbers"))
     r = rows.select("file", "row", "account", "columns", F.inline(F.array(read)))
+    r = r.select("file", "row", "account", "columns", "day", *[F.get("texts", F.lit(i)).alias(a) for i, a in enumerate(named)], *[F.get("numbers", F.lit(i)).alias(c) for i, c in enumerate(names)])
     connect = F.array_contains("columns", RATE)
     needed = lambda cols: [F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in cols]
     missing = F.when(connect, F.array_compact(F.array(*needed([QUANTITY, PRICE, AMOUNT, *FEES, RATE, *CONNECT_FEES])))).otherwise(F.array_compact(F.array(*needed([QUANTITY, PRICE, AMOUNT, *FEES, *STOCK_FEES]))))
@@ -94,11 +108,12 @@ def flow_rows(rows: DataFrame) -> DataFrame:
     money = lambda c: c.cast(MONEY)
     gross = money(quantity * price)
     expected = F.when(buys, -(gross + F.col("fees"))).otherwise(gross - F.col("fees"))
-    off_stock = F.abs(amount - expected) > money(quantity * half) + F.lit(AMOUNT_SLACK).cast(MONEY)
-    off_unit = F.abs(F.try_divide(F.abs(amount), quantity) - price) > half
-    reason = skip_reason(F.col("statement"), F.col("business"), F.col("code"))
-    stock = F.col("statement") == "stock"
-    booked = trade & reason.isNull()
+    off_stock = F.abs(amount - expected) > money(quantity * F.col("half")) + F.lit(AMOUNT_SLACK).cast(MONEY)
+    off_unit = F.abs(F.try_divide(F.abs(amount), quantity) - price) > F.col("half")
+    # What several conditions ask for is a column, and not written out in each of them.
+    r = r.withColumn("reason", skip_reason(F.col("statement"), F.col("business"), F.col("code")))
+    r = r.withColumns({"booked": trade & F.col("reason").isNull(), "half": half}).withColumns({"off_stock": off_stock, "off_unit": off_unit})
+    reason, stock, booked, off_stock, off_unit = F.col("reason"), F.col("statement") == "stock", F.col("booked"), F.col("off_stock"), F.col("off_unit")
     bad_balance = stock & ~F.coalesce("balance", F.lit("")).isin("", "--") & strict_number(F.col("balance")).isNull()
     early = (
         F.when(F.col("business") == "", "no business").when(F.col("day").isNull(), "no date").when(F.size("missing") > 0, F.concat(F.lit("no number: "), F.array_join("missing", ", ")))

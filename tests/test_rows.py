@@ -35,6 +35,12 @@ def test_files_don_t_meet(spark):
     assert sr.statement_rows(df).isEmpty() and sr.statement_rows(df.limit(0)).isEmpty()
 
 
+def test_rows_are_put_together_without_an_aggregation(spark):
+    """Lines of a row stand beside each other in the file's order; an aggregation of texts falls back to sorting its buffers."""
+    df = spark.createDataFrame([(1, 1, sr.ROWS_TITLE)], "file int, n int, text string")
+    assert "Aggregate" not in sr.statement_rows(df)._jdf.queryExecution().toString()
+
+
 def test_what_rows_must_fulfil(spark):
     stock = [
         ("证券买入|600519|a|1,000|2.50|-2,505.00|5|0|0|--", "BUY", None, None),
